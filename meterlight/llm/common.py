@@ -7,7 +7,11 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: A group that holds 1/HEAVY of the rows or more is joined by broadcast; at most HEAVY such groups exist.
+HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +56,33 @@ def worker_cache(name: str, make):
     if not hasattr(store, name):
         setattr(store, name, make())
     return getattr(store, name)
+
+
+def label_rows(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row per key, ``size`` its number of rows).
+
+    Groups of a thousandth of the rows or more, of which there are at most HEAVY, go by broadcast;
+    what is left has no hot key and is merged by key.
+    """
+    least = max(2, -(-rows.count() // HEAVY))
+    heavy = F.broadcast(groups.where(F.col(size) >= least))
+    light = groups.where(F.col(size) < least)
+    rest = rows.join(heavy.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light.hint("merge"), key))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` named by ``kept`` (id, text_key), one row for each, with all their columns.
+
+    ``text_key`` is :func:`text_key` of the text, so ids that occur with several texts stay apart.
+    """
+    kept = kept.select(F.col("id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    tagged = docs.withColumn("_key", text_key(F.col(text_col)))
+    same = (F.col("_key") == F.col("_kept_key")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_kept_id"))
+    one = Window.partitionBy("_kept_key", "_kept_id").orderBy(F.lit(1))
+    return tagged.join(kept, same).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+
+
+def text_key(text):
+    """A 64-bit hash of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

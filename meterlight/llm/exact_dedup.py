@@ -18,10 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_folder, shuffle_partitions, table
-
-#: A group that holds this share of a batch, or more, is joined by broadcast; at most HEAVY such groups exist.
-HEAVY = 1000
+from .common import label_rows, materialize, shared_folder, shuffle_partitions, table
 
 
 def digest(text: F.Column) -> F.Column:
@@ -74,23 +71,11 @@ class DigestIndex:
             .format("parquet").saveAsTable(self.name)
         )
         found = groups.select("digest", "group_size").join(self.read().hint("merge"), "digest")
-        return self._label(rows, found, batch)
-
-    def _label(self, rows: DataFrame, found: DataFrame, batch: str) -> DataFrame:
-        """Give each row its group. Groups of a thousandth of the batch or more, of which there are
-        at most HEAVY, go by broadcast; what is left has no hot key."""
-        least = max(2, -(-rows.count() // HEAVY))
         found = found.select(
             "digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row")
         )
-        heavy = F.broadcast(found.where(F.col("group_size") >= least))
-        light = found.where(F.col("group_size") < least)
-        labelled = rows.join(heavy, "digest").unionByName(
-            rows.join(heavy.select("digest"), "digest", "left_anti").join(light.hint("merge"), "digest")
-        )
-        return labelled.select(
-            "id", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
-        )
+        kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
+        return label_rows(rows, found, "digest", "group_size").select("id", "digest", "keep_id", "group_size", kept)
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": chat_format.op2_chat_format,
+        "op3_simhash": simhash.op3_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     }
 
