@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, simhash
+from . import bpe, chat_format, exact_dedup, language_id, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_simhash": simhash.op3_simhash,
+        "op5_language_id": language_id.op5_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
     }
 
 
