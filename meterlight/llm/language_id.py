@@ -30,8 +30,10 @@ UNKNOWN = "und"
 ORDER, SAMPLE = 4, 400
 #: Letters scored at once.
 BLOCK = 1 << 19
-#: Share of the sample that calibration may reject, and the factor put on the bound so found.
-REJECTED_SHARE, SLACK = 0.001, 2.0
+#: Share of the sample that calibration may reject, and the factor put on the bound so found. A text is
+#: kept in any case while its entropy is below this share of the way from the language's own entropy to
+#: that of letters drawn at random, so that a text with passages in other languages stays.
+REJECTED_SHARE, SLACK, KEPT_SHARE = 0.001, 2.0, 0.6
 
 
 def _letters() -> np.ndarray:
@@ -176,6 +178,7 @@ class Scorer:
         self.contexts = [HashArray(t[2], t[3]) if t[2] is not None else None for t in model["tables"]]
         self.last = (model["tables"][0][3] + model["floor"]).astype(np.float32)
         self.bounds = model.get("bounds")
+        self.random = -model["floor"]
         self.lower = worker_cache("letters", _letters)
 
     def _scores(self, points: np.ndarray) -> np.ndarray:
@@ -259,7 +262,7 @@ class Scorer:
             best = int(entropy.argmin())
             score = 1.0 / float(np.exp((entropy[best] - entropy) * min(size, 64)).sum())
             mean, by_text, by_character = self.bounds[best]
-            bound = mean + by_text + by_character / size**0.5
+            bound = mean + max(by_text + by_character / size**0.5, KEPT_SHARE * (self.random[best] - mean))
             found.append((self.languages[best], score, float(entropy[best]), bool(entropy[best] > bound)))
         return found
 
