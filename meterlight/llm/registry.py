@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, language_id, simhash
+from . import bpe, chat_format, exact_dedup, html_extract, language_id, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.op5_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_html_extract": html_extract.op8_html_extract,
     }
 
 
