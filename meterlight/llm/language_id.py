@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, worker_cache
+from .hashing import HashArray
 
 UNKNOWN = "und"
 #: Length of the n-grams, and labelled documents per language that are learned from.
@@ -71,39 +72,6 @@ def gram_hashes(points: np.ndarray, order: int) -> np.ndarray:
     return value
 
 
-class HashArray:
-    """Sorted hashes with a radix index on their leading bits; rows of ``values`` belong to them."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.ascontiguousarray(values[order], np.float32)
-        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
-        edges = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
-        self.starts = edges.astype(np.int32)
-        self.deepest = int(np.diff(edges).max(initial=0))
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of each hash, or -1."""
-        rows = np.full(len(hashes), -1, np.int32)
-        if not len(self.keys):
-            return rows
-        at = self.starts[hashes >> self.shift]
-        open_ = None
-        for _ in range(self.deepest):
-            np.minimum(at, len(self.keys) - 1, out=at)
-            hit = self.keys[at] == (hashes if open_ is None else hashes[open_])
-            if open_ is None:
-                rows[hit] = at[hit]
-                open_ = np.flatnonzero(~hit)
-                at = at[open_] + 1
-            else:
-                rows[open_[hit]] = at[hit]
-                open_, at = open_[~hit], at[~hit] + 1
-            if not len(open_):
-                break
-        return rows
-
-
 def kneser_ney(counts: dict[str, dict[str, int]], order: int) -> dict:
     """Fit the models. ``counts``: per language the n-grams of the highest order with their counts;
     a space stands for anything but letters, and leading spaces for the start of a text."""

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, html_extract, language_id, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_simhash": simhash.op3_simhash,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_language_id": language_id.op5_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_html_extract": html_extract.op8_html_extract,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
 
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat_format.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op9_line_dedup": line_dedup.ORACLE_SQL,
     }
