@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, lm_score, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_lm_score": lm_score.op10_lm_score,
     }
 
 
