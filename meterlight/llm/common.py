@@ -40,6 +40,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of plans no longer in use
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, lm_score, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, lm_score, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_simhash": simhash.op3_simhash,
         "op4_decontaminate": decontaminate.op4_decontaminate,
