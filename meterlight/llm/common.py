@@ -48,6 +48,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_blocks(texts: list, limit: int):
+    """Bounds of consecutive blocks of texts with at most ``limit`` characters (or one text) each."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text) if text else 0
+        if size > limit and i > start:
+            yield start, i
+            start, size = i, len(text) if text else 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def worker_cache(name: str, make):
     """A value kept for the life of a Python worker, made on first use.
 
