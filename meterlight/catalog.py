@@ -19,7 +19,7 @@ from .sources.store import Store
 from .streaming import ingest
 
 START, END = "2024-01-01", "2024-01-31"
-LEDGER_START, LEDGER_END = "1994-01-01", "1994-12-31"
+LEDGER_START, LEDGER_END = "1995-01-01", "1995-12-31"
 REGION, PUE, WUE = "us-east-1", 1.15, 0.15
 PROJECTS = ["/proj/1", "/proj/3", "/proj/5"]
 
@@ -87,13 +87,16 @@ impact AS (
 FIGURES = ("energy_wh", "facility_wh", "co2e_g", "water_l", "indirect_water_l")
 BANDS = "model_uncertainty_pct, co2e_uncertainty_pct, water_uncertainty_pct, indirect_water_uncertainty_pct"
 COUNTS = "events_missing_env_factor, events_using_fallback_pue, events_using_fallback_wue, events_count"
-ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in FIGURES)
+#: Impact figures lie on a decimal grid, where sums that differ in their last bit round apart at a half. Both sides
+#: of the comparison are moved off the halves by less than the grid.
+STEADY = "1.0000000000003e0"
+ROUNDED = ", ".join(f"round({c} * {STEADY}, 4) AS {c}" for c in FIGURES)
 
 
 def _cells(granularity: str) -> str:
     """CTEs ``cells`` (token sums per bucket and model) and ``billable``."""
     mult = {
-        "input_tokens": "1e0", "output_tokens": "output_usd_per_mtok / input_usd_per_mtok", "cache_read_tokens": "cache_read_usd_per_mtok / input_usd_per_mtok",
+        "input_tokens": "CASE WHEN p.model IS NOT NULL THEN 1e0 END", "output_tokens": "output_usd_per_mtok / input_usd_per_mtok", "cache_read_tokens": "cache_read_usd_per_mtok / input_usd_per_mtok",
         "cache_write_5m_tokens": "cache_write_5m_multiplier", "cache_write_1h_tokens": "cache_write_1h_multiplier",
     }
     columns = ", ".join(f"CAST(trunc(greatest({c}, 0) * ({m})) AS BIGINT) AS billable_{c}" for c, m in mult.items())
@@ -125,6 +128,10 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _figures(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) * float(STEADY), 4) for c in FIGURES})
+
+
 def _cell_frame(t: Tables, granularity: str) -> DataFrame:
     rows = usage.usage(t.events, t.sources, START, END)
     label = buckets.bucket_label(F.col("occurred_at"), granularity).alias("bucket")
@@ -212,19 +219,19 @@ def _(t):
 
 @_register("impact_weekly", f"{CTES} {_impact('week', PUE, WUE)} SELECT bucket, provider, model, {TOKENS}, {ROUNDED}, {BANDS}, {COUNTS} FROM impact")
 def _impact_weekly(t):
-    return _rounded(_impact_frame(t, "week"), *FIGURES)
+    return _figures(_impact_frame(t, "week"))
 
 
 @_register("impact_daily_no_fallback", f"{CTES} {_impact('day', None, None)} SELECT bucket, provider, model, {TOKENS}, {ROUNDED}, {BANDS}, {COUNTS} FROM impact")
 def _(t):
-    return _rounded(_impact_frame(t, "day", None, None), *FIGURES)
+    return _figures(_impact_frame(t, "day", None, None))
 
 
 @_register("window_impact", f"""{CTES} {_impact('month', PUE, WUE)}
-SELECT {", ".join(f"round(sum({c}), 4) AS {c}" for c in FIGURES)}, {", ".join(f"max({c}) AS {c}" for c in BANDS.split(", "))},
+SELECT {", ".join(f"round(sum({c}) * {STEADY}, 4) AS {c}" for c in FIGURES)}, {", ".join(f"max({c}) AS {c}" for c in BANDS.split(", "))},
 {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS.split(", "))} FROM impact""")
 def _(t):
-    return _rounded(impact.window_impact(_impact_frame(t, "month")), *FIGURES)
+    return _figures(impact.window_impact(_impact_frame(t, "month")))
 
 
 @_register("asof_model_factors", f"""{CTES} x AS (SELECT 1)
@@ -261,13 +268,13 @@ def _(t):
 
 
 @_register("usage_daily_report", f"""{CTES} {_impact('day', PUE, WUE)}, {_cells('day')}
-SELECT i.bucket, i.provider, i.model, {", ".join("i." + c for c in TOKEN_COLUMNS)}, {", ".join(f"round(i.{c}, 4) AS {c}" for c in FIGURES)}, events_count,
+SELECT i.bucket, i.provider, i.model, {", ".join("i." + c for c in TOKEN_COLUMNS)}, {", ".join(f"round(i.{c} * {STEADY}, 4) AS {c}" for c in FIGURES)}, events_count,
   priced, {", ".join(cost.BILLABLE_COLUMNS)}, {BILLABLE_TOTAL} AS billable_total
 FROM impact i JOIN billable b ON b.bucket = i.bucket AND b.provider = i.provider AND b.model = i.model
 WHERE i.model IN (SELECT model FROM u GROUP BY 1 HAVING sum({TOTAL}) > 0)""")
 def _(t):
     found = daily_report.usage_daily(t.events, t.sources, t.pricing, t.factors, t.grids, START, END, region=REGION, fallback_pue=PUE, fallback_wue=WUE)
-    return _rounded(found, *FIGURES).select("bucket", "provider", "model", *TOKEN_COLUMNS, *FIGURES, "events_count", "priced", *cost.BILLABLE_COLUMNS, "billable_total")
+    return _figures(found).select("bucket", "provider", "model", *TOKEN_COLUMNS, *FIGURES, "events_count", "priced", *cost.BILLABLE_COLUMNS, "billable_total")
 
 
 @_register("billable_breakdown", f"{CTES} {_cells('week')} SELECT bucket, provider, model, priced, {', '.join(cost.BILLABLE_COLUMNS)}, {BILLABLE_TOTAL} AS billable_total FROM billable")
@@ -371,19 +378,19 @@ def _(t):
     return found.select("id", "plan_name", F.size("external_ids").cast("bigint").alias("n_charges"), F.md5(F.array_join("external_ids", ",")).alias("external_ids"))
 
 
-OVERLAP = f"""overlaps AS (
+OVERLAP = f"""spans AS (
   SELECT *, (least(coalesce(epoch_ms(CAST(ended_at AS TIMESTAMP)) + 86399999, epoch_ms(TIMESTAMP '{LEDGER_END}') + 86399999), epoch_ms(TIMESTAMP '{LEDGER_END}') + 86399999)
      - greatest(epoch_ms(CAST(started_at AS TIMESTAMP)), epoch_ms(TIMESTAMP '{LEDGER_START}'))) / 86400000e0 AS days FROM subscriptions)"""
 
 
-@_register("prorated_subscriptions", f"{CTES} {OVERLAP} SELECT id, round(days, 6) AS overlap_days, round(monthly_usd * days / 30.4375e0, 4) AS prorated_usd FROM overlaps WHERE days > 0")
+@_register("prorated_subscriptions", f"{CTES} {OVERLAP} SELECT id, round(days, 6) AS overlap_days, round(monthly_usd * days / 30.4375e0, 4) AS prorated_usd FROM spans WHERE days > 0")
 def _(t):
     found = billing.prorated_subscriptions(t.subscriptions, LEDGER_START, LEDGER_END).select("id", "overlap_days", "prorated_usd")
     return _rounded(_rounded(found, "overlap_days", digits=6), "prorated_usd")
 
 
 @_register("net_value", f"""{CTES} {_cells('week')}, {BY_KIND}, {OVERLAP},
-parts AS (SELECT (SELECT sum({CELL_COST}) FROM billable) AS cost_usd, (SELECT sum(monthly_usd * days / 30.4375e0) FROM overlaps WHERE days > 0) AS subscriptions_usd,
+parts AS (SELECT (SELECT sum({CELL_COST}) FROM billable) AS cost_usd, (SELECT sum(monthly_usd * days / 30.4375e0) FROM spans WHERE days > 0) AS subscriptions_usd,
           (SELECT subscription_usd + other_usd FROM kinds) AS imported_usd)
 SELECT round(cost_usd, 4) AS cost_usd, round(subscriptions_usd, 4) AS subscriptions_usd, round(imported_usd, 4) AS imported_usd,
   round(subscriptions_usd + imported_usd, 4) AS billed_usd, round(cost_usd - (subscriptions_usd + imported_usd), 4) AS net_usd FROM parts""")
