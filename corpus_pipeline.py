@@ -16,8 +16,9 @@ from meterlight.llm.common import materialize, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those unlike all languages of the corpus."""
-    model = language_id.fit(docs)
-    return language_id.predict(docs, model, prefix="_lid_").where("not _lid_rejected").select(*docs.columns)
+    prefix = "_" * (1 + max(map(len, docs.columns)))  # clashes with no column
+    found = language_id.predict(docs, language_id.fit(docs), prefix=prefix)
+    return found.where(~F.col(prefix + "rejected")).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group that holds 1/HEAVY of the rows or more is joined by broadcast; at most HEAVY such groups exist.
@@ -84,16 +84,29 @@ def label_rows(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataF
     return rows.join(heavy, key).unionByName(rest.join(light.hint("merge"), key))
 
 
+def keyed(docs: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """Each row of ``docs`` as a struct ``row``, with its key and id beside it: no column of the input can
+    clash with these. ``id`` is 0 where it is null, and ``no_id`` says so, so that plain equality joins them."""
+    number = F.col(id_col).cast("bigint")
+    return docs.select(F.struct("*").alias("row"), key.alias("key"), F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("no_id"))
+
+
+def named(ids: DataFrame, id_col: str, key_col: str) -> DataFrame:
+    """The key, id and no_id of :func:`keyed`, of rows that are named by id and key."""
+    number = F.col(id_col).cast("bigint")
+    return ids.select(F.col(key_col).alias("key"), F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("no_id"))
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (id, text_key), one row for each, with all their columns.
 
-    ``text_key`` is :func:`text_key` of the text, so ids that occur with several texts stay apart.
+    ``text_key`` is :func:`text_key` of the text, so ids that occur with several texts stay apart. Joined on
+    both, so copies of one text do not meet in one task; the choice of one row needs no further shuffle.
     """
-    kept = kept.select(F.col("id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
-    tagged = docs.withColumn("_key", text_key(F.col(text_col)))
-    same = (F.col("_key") == F.col("_kept_key")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_kept_id"))
-    one = Window.partitionBy("_kept_key", "_kept_id").orderBy(F.lit(1))
-    return tagged.join(kept, same).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    place = ["key", "id", "no_id"]
+    joined = keyed(docs, id_col, text_key(F.col(text_col))).join(named(kept, "id", "text_key"), place)
+    one = Window.partitionBy(*place).orderBy(F.lit(1))
+    return joined.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def text_key(text):

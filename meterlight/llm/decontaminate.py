@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_key, worker_cache
+from .common import keyed, materialize, named, table, text_key, worker_cache
 from .hashing import HashArray, SpanHasher, mix, powers
 
 #: Template tokens in a window, and how many of them must be literal words.
@@ -226,10 +226,9 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **parameters).select(F.col("id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    tagged = docs.withColumn("_key", text_key(F.col(text_col)))
-    same = (F.col("_key") == F.col("_bad_key")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_bad_id"))
-    return tagged.join(bad, same, "left_anti").select(*docs.columns)
+    bad = contaminated(docs, benchmark, id_col, text_col, **parameters).select("id", "text_key").distinct()
+    tagged = keyed(docs, id_col, text_key(F.col(text_col)))
+    return tagged.join(named(bad, "id", "text_key"), ["key", "id", "no_id"], "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

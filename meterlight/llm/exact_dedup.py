@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import label_rows, materialize, shared_folder, shuffle_partitions, table
+from .common import keyed, label_rows, materialize, named, shared_folder, shuffle_partitions, table
 
 
 def digest(text: F.Column) -> F.Column:
@@ -85,12 +85,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     index = DigestIndex(docs.sparkSession)
     index.add(docs, id_col, text_col)
-    kept = index.read().select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
-    tagged = docs.withColumn("_digest", digest(F.col(text_col)))
-    same_id = tagged[id_col].cast("bigint").eqNullSafe(kept["_keep_id"])
-    joined = tagged.join(kept, (tagged["_digest"] == kept["_digest"]) & same_id).drop(kept["_digest"])
-    order = Window.partitionBy("_digest", "_keep_id").orderBy(F.lit(1))
-    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    place = ["key", "id", "no_id"]
+    joined = keyed(docs, id_col, digest(F.col(text_col))).join(named(index.read(), "keep_id", "digest"), place)
+    one = Window.partitionBy(*place).orderBy(F.lit(1))
+    return joined.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
