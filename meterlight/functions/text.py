@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .maths import bracket, round_significant, significant_digits
+
 #: The categories, and what descriptions contain that belong to them, in order of precedence.
 CATEGORIES = ("subscription", "overage", "refund", "one_time", "unknown")
 NEEDLES = (
@@ -65,23 +67,61 @@ def token_type_name(column: Column) -> Column:
     return F.coalesce(F.try_element_at(names, column), column)
 
 
-def compact_number(value: Column) -> Column:
-    """1234 becomes 1.2K; K, M and B."""
+def _fixed(value: Column, digits: int) -> Column:
+    """Decimals without separators; a single decimal of zero goes."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", value.cast("double")), r"^(-?\d+)\.0$", "$1")
+
+
+def _plain(value: Column) -> Column:
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
+def _compact(value: Column, rest: Column) -> Column:
     found = F
     for limit, unit in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
-        found = found.when(F.abs(value) >= limit, F.concat(F.format_number(value / limit, 1), F.lit(unit)))
-    return found.otherwise(F.format_number(value, 0))
+        found = found.when(F.abs(value) >= limit, F.concat(_fixed(value / limit, 1), F.lit(unit)))
+    return found.otherwise(rest)
 
 
-def scaled(value: Column, units: tuple[tuple[float, str], ...], digits: int = 2) -> Column:
-    """The value in the largest unit that it reaches; ``units`` from large to small, the last as default."""
-    found = F
-    for limit, unit in units[:-1]:
-        found = found.when(F.abs(value) >= limit, F.concat(F.format_number(value / limit, digits), F.lit(" " + unit)))
-    limit, unit = units[-1]
-    return found.otherwise(F.concat(F.format_number(value / limit, digits), F.lit(" " + unit)))
+def compact_number(value: Column) -> Column:
+    """1234 becomes 1.2K, 2000 becomes 2K; also M and B. Smaller numbers stay as they are."""
+    return _compact(value, _plain(value))
+
 
+def compact_dollars(value: Column) -> Column:
+    """As :func:`compact_number`; whole dollars below a thousand, cents below one."""
+    rest = F.when(F.abs(value) >= 1, _fixed(value, 0)).otherwise(_fixed(value, 2))
+    return F.concat(F.lit("$"), _compact(value, rest))
 
-ENERGY_UNITS = ((1e6, "MWh"), (1e3, "kWh"), (1.0, "Wh"))
-CARBON_UNITS = ((1e6, "t"), (1e3, "kg"), (1.0, "g"))
-WATER_UNITS = ((1e3, "m³"), (1.0, "L"), (1e-3, "mL"))
+
+def exact_dollars(value: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(value, 2))
+
+
+def rounded_dollars(value: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(F.round(value), 0))
+
+
+#: From which size on a unit is used, the size of the unit, its name.
+ENERGY_UNITS = ((1e6, 1e6, "MWh"), (1e3, 1e3, "kWh"), (1.0, 1.0, "Wh"), (1e-3, 1e-3, "mWh"), (0.0, 1e-6, "µWh"))
+CARBON_UNITS = ((1e6, 1e6, "t CO₂e"), (1e3, 1e3, "kg CO₂e"), (1.0, 1.0, "g CO₂e"), (1e-3, 1e-3, "mg CO₂e"), (0.0, 1.0, "g CO₂e"))
+WATER_UNITS = ((1e3, 1e3, "kL"), (1.0, 1.0, "L"), (0.0, 1e-3, "mL"))
+
+
+def scaled(value: Column, units: tuple[tuple[float, float, str], ...], uncertainty_pct: Column | None = None) -> Column:
+    """The value in the largest unit that it reaches: two decimals, or as many digits as its band allows."""
+    pct = F.lit(0) if uncertainty_pct is None else uncertainty_pct
+    found = F
+    for least, size, name in units:
+        shown = value / size
+        precise = F.when(pct > 0, _plain(round_significant(shown, significant_digits(pct)))).otherwise(_fixed(shown, 2))
+        found = found.when(F.abs(value) >= least, F.concat(precise, F.lit(" " + name)))
+    return found
+
+
+def bracketed(value: Column, units: tuple[tuple[float, float, str], ...], uncertainty_pct: Column) -> Column:
+    """``~value (low – high) ± pct%``; the value alone without a band."""
+    ends = bracket(value, uncertainty_pct)
+    low, high = (scaled(ends[k], units, uncertainty_pct) for k in ("low", "high"))
+    whole = F.concat(F.lit("~"), scaled(value, units, uncertainty_pct), F.lit(" ("), low, F.lit(" – "), high, F.lit(") ± "), uncertainty_pct.cast("string"), F.lit("%"))
+    return F.when(uncertainty_pct > 0, whole).otherwise(scaled(value, units))

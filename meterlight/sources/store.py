@@ -67,10 +67,12 @@ class Store:
     def insert_events(self, rows: DataFrame, order: list[str]) -> dict[str, int]:
         """Insert what is new; the first row of a key in ``order`` wins. Rows without a key are all new."""
         keyed = rows.withColumn("_key", event_key())
+        has_key = F.col("_key").isNotNull()
         first = Window.partitionBy("source", "_key").orderBy(*order)
-        ranked = keyed.withColumn("_n", F.when(F.col("_key").isNull(), 1).otherwise(F.row_number().over(first)))
-        known = self.events().withColumn("_key", event_key()).where(F.col("_key").isNotNull()).select("source", "_key")
-        fresh = ranked.where("_n = 1").join(known, ["source", "_key"], "left_anti")
+        ranked = keyed.where(has_key).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        known = self.events().withColumn("_key", event_key()).where(has_key).select("source", "_key")
+        # Rows without a key take no part in the window and the join, where they would all meet in one task.
+        fresh = ranked.join(known, ["source", "_key"], "left_anti").unionByName(keyed.where(~has_key))
         fresh = fresh.select(*[F.col(f.name).cast(f.dataType) for f in EVENTS]).withColumn("event_date", F.to_date("occurred_at")).cache()
         try:
             seen, inserted = rows.count(), fresh.count()
