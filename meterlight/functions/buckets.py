@@ -86,7 +86,7 @@ def enumerate_buckets(spark: SparkSession, start: dt.date | str, end: dt.date |
     first, last = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     low = first if granularity == "day" else F.to_date(F.date_trunc(granularity, first))
     step = F.expr({"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[granularity])
-    return spark.range(1).where(first <= last).select(F.explode(F.sequence(low, last, step)).alias("bucket"))
+    return spark.range(1).where(first <= last).select(F.explode(F.sequence(low, F.greatest(low, last), step)).alias("bucket"))
 
 
 def relative_time(then: Column, now: Column) -> Column:

@@ -114,7 +114,10 @@ def test_charts(frame, sources):
 def test_scan_gets_the_window_and_the_columns(spark, frame, sources, tmp_path):
     frame(SIX).write.parquet(str(tmp_path / "events"))
     found = usage.daily_usage(spark.read.parquet(str(tmp_path / "events")), sources, *APRIL)
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", before)
     assert "GreaterThanOrEqual(occurred_at" in plan
     assert "LessThan(occurred_at" in plan
     assert "request_id" not in plan
