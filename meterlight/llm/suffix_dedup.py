@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import label_rows, materialize, shared_folder, shuffle_partitions, table
+from .common import discard, label_rows, materialize, shared_folder, shuffle_partitions, table
 from .hashing import SpanHasher, mix
 
 LENGTH = 400
@@ -162,7 +162,7 @@ def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     name = f"texts_{uuid.uuid4().hex}"
     texts.join(copies, "key").select("key", "copies", "data").write.bucketBy(buckets, "key").sortBy("key").option(
         "path", f"{shared_folder(spark)}/{name}"
-    ).format("parquet").saveAsTable(name)
+    ).option("compression", "zstd").format("parquet").saveAsTable(name)
     return rows, spark.table(name), name
 
 
@@ -225,11 +225,13 @@ def _marks(samples: DataFrame) -> DataFrame:
     opened = contexts.join(kinds, "name").select("one.key", "one.position", F.lit(False).alias("settled"))
     twice = contexts.where("n > 1").select("name", "context")
     settled = samples.join(twice, ["name", "context"]).select("key", "position", F.lit(True).alias("settled"))
-    both = settled.unionByName(opened).groupBy("key")
-    return both.agg(
+    both = settled.unionByName(opened).groupBy("key").agg(
         F.collect_list(F.when(F.col("settled"), F.col("position"))).alias("settled"),
         F.collect_list(F.when(~F.col("settled"), F.col("position"))).alias("open"),
     )
+    marks = materialize(both, "marks")
+    discard(contexts)
+    return marks
 
 
 def _windows_of(positions: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,10 +299,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, texts, _ = _distinct_texts(docs, id_col, text_col)
     stretches = materialize(_stretches(texts), "stretches")
     samples = materialize(_samples(texts, stretches), "samples")
-    marks = materialize(_marks(samples), "marks")
+    discard(stretches)
+    marks = _marks(samples)
+    discard(samples)
     windows = materialize(_remaining(texts, marks), "remaining")
-    twice = windows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
-    equal = windows.join(twice, "name").groupBy("key").agg(F.collect_list("position").alias("equal"))
+    twice = materialize(windows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"), "repeated")
+    equal = windows.select("name", "key", "position").join(twice, "name").groupBy("key").agg(F.collect_list("position").alias("equal"))
     found = marks.select("key", "settled").join(equal, "key", "left")
     return rows, _cleaned(texts, found).join(texts.select("key", "copies"), "key")
 
