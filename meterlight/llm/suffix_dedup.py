@@ -25,8 +25,11 @@ repeated only if that 32-gram occurs as such a least one elsewhere too.
 
 Equal texts are worked on once, with their number; names and windows count that often. Texts are written
 once, bucketed by their key, so that the later steps join them without a shuffle; everything else that
-is shuffled is names and positions. Names are 64-bit hashes: n of them collide with a probability of about
-n * n / 2 ** 65.
+is shuffled is names and positions: the sampled suffixes once and the remaining windows once, sorted by
+name. Before, every task combines chunks of CHUNK of them, so that a name which very many texts share meets
+with a few rows of each chunk only: repetitions within a chunk are settled there, and of a name with
+several second-level names in a chunk the suffixes remain in any case and are spread by the latter. Names
+are 64-bit hashes: n of them collide with a probability of about n * n / 2 ** 65.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows count as
 occurrences elsewhere; ids may repeat or be null; other columns are not read; an empty table gives no
@@ -53,6 +56,8 @@ BLOCK = (LENGTH - PERIOD + 1) // 3
 #: Length of the n-grams that winnowing compares.
 GRAM = 32
 _PLACE_BITS = 28
+#: Suffixes or windows that a task combines before they are shuffled.
+CHUNK = 1 << 20
 
 
 def _bytes(data) -> np.ndarray:
@@ -191,47 +196,109 @@ def _stretches(texts: DataFrame) -> DataFrame:
     return live.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
+def combine_samples(key: np.ndarray, copies: np.ndarray, position: np.ndarray, name: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sampled suffixes of a chunk as they are shuffled: key, copies, position, name, context, remains.
+
+    The first of equal contexts stands for their number; the others are repeated and get names of their
+    own. A name with several contexts is replaced by one for each of them, and two rows without a place
+    (position -1, no copies) show other chunks that it has several.
+    """
+    order = np.lexsort((context, name))
+    key, copies, position, name, context = (c[order] for c in (key, copies, position, name, context))
+    new_name = np.concatenate([[True], name[1:] != name[:-1]])
+    first = new_name | np.concatenate([[True], context[1:] != context[:-1]])
+    starts, of_name = np.flatnonzero(first), np.cumsum(new_name) - 1
+    several = (np.bincount(of_name[starts]) > 1)[of_name]
+    number = copies.copy()
+    number[starts] = np.add.reduceat(copies, starts)
+    number[~first] = 2
+    sent = name.copy()
+    sent[~first] = _own_names(key[~first], position[~first])
+    remains = first & several
+    sent[remains] = mix(mix(name[remains]) + context[remains])
+    last = np.concatenate([new_name[1:], [True]])
+    shown = np.flatnonzero(several & (new_name | last))
+    none = np.zeros(len(shown), np.int64)
+    joined = zip(
+        (key, number, position, sent, context, remains),
+        (key[shown], none, none - 1, name[shown], context[shown], none.astype(bool)), strict=True
+    )
+    return tuple(np.concatenate(pair) for pair in joined)
+
+
+def combine_windows(key: np.ndarray, copies: np.ndarray, position: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of a chunk as they are shuffled: the first of equal ones stands for their number, the others
+    are repeated and get names of their own."""
+    order = np.argsort(name, kind="stable")
+    key, copies, position, name = (c[order] for c in (key, copies, position, name))
+    first = np.concatenate([[True], name[1:] != name[:-1]])
+    starts = np.flatnonzero(first)
+    copies[starts] = np.add.reduceat(copies, starts)
+    copies[~first] = 2
+    name[~first] = _own_names(key[~first], position[~first])
+    return key, copies, position, name
+
+
+def _own_names(key: np.ndarray, position: np.ndarray) -> np.ndarray:
+    return mix(mix(key.astype(np.uint64)) + position.astype(np.uint64))
+
+
+def _chunks(parts, combine, schema: pa.Schema):
+    """Record batches of tuples of arrays, joined to chunks of CHUNK rows (or one text) and combined."""
+    held, size = [], 0
+
+    def flush():
+        columns = combine(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        for k in range(0, len(columns[0]), 1 << 16):
+            arrays = [c[k : k + (1 << 16)] for c in columns]
+            arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(f.type) for c, f in zip(arrays, schema, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
+        if size >= CHUNK:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def _samples(texts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """key, copies, position, size (of the text), name, context (second-level name) of the sampled suffixes."""
+    """key, copies, position, name, context (second-level name), remains of the sampled suffixes."""
+    schema = pa.schema([("key", pa.int64()), ("copies", pa.int64()), ("position", pa.int32()), ("name", pa.int64()), ("context", pa.int64()), ("remains", pa.bool_())])
 
     def compute(batches):
         sampler = Sampler()
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for key, copies, data, spans in zip(*(batch.column(c) for c in ("key", "copies", "data", "spans")), strict=True):
-                symbols = _bytes(data.as_buffer())
-                first, last = (spans.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                at, name, context = sampler(symbols, *union(first, last))
-                n = len(at)
-                for column, found in zip(
-                    out, (np.full(n, key.as_py()), np.full(n, copies.as_py()), at, np.full(n, len(symbols)), name.view(np.int64), context.view(np.int64)), strict=True
-                ):
-                    column.append(found)
-            arrays = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, ("i8", "i8", "i4", "i4", "i8", "i8"), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "copies", "position", "size", "name", "context"])
+
+        def parts():
+            for batch in batches:
+                for key, copies, data, spans in zip(*(batch.column(c) for c in ("key", "copies", "data", "spans")), strict=True):
+                    first, last = (spans.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                    at, name, context = sampler(_bytes(data.as_buffer()), *union(first, last))
+                    yield np.full(len(at), key.as_py()), np.full(len(at), copies.as_py()), at, name, context
+
+        yield from _chunks(parts(), combine_samples, schema)
 
     return texts.join(stretches.hint("merge"), "key").mapInArrow(
-        compute, "key bigint, copies bigint, position int, size int, name bigint, context bigint"
+        compute, "key bigint, copies bigint, position int, name bigint, context bigint, remains boolean"
     )
 
 
 def _marks(samples: DataFrame) -> DataFrame:
     """key, settled, open: positions of the sampled suffixes whose windows are all repeated, and of those
     whose windows are to be compared."""
-    place = F.struct("key", "position")
-    contexts = samples.groupBy("name", "context").agg(F.sum("copies").alias("n"), F.min(place).alias("one"))
-    contexts = materialize(contexts, "contexts")
-    kinds = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    opened = contexts.join(kinds, "name").select("one.key", "one.position", F.lit(False).alias("settled"))
-    twice = contexts.where("n > 1").select("name", "context")
-    settled = samples.join(twice, ["name", "context"]).select("key", "position", F.lit(True).alias("settled"))
-    both = settled.unionByName(opened).groupBy("key").agg(
+    of_name, of_context = Window.partitionBy("name"), Window.partitionBy("name", "context")
+    known = samples.withColumn("several", F.min("context").over(of_name) != F.max("context").over(of_name))
+    known = known.withColumn("settled", F.sum("copies").over(of_context) > 1)
+    known = known.withColumn("one", F.row_number().over(of_context.orderBy(F.desc("position"))) == 1)
+    known = known.select("key", "position", "settled", (F.col("one") & (F.col("several") | F.col("remains"))).alias("open"))
+    known = known.where("position >= 0 and (settled or open)")
+    return known.groupBy("key").agg(
         F.collect_list(F.when(F.col("settled"), F.col("position"))).alias("settled"),
-        F.collect_list(F.when(~F.col("settled"), F.col("position"))).alias("open"),
+        F.collect_list(F.when(F.col("open"), F.col("position"))).alias("open"),
     )
-    marks = materialize(both, "marks")
-    discard(contexts)
-    return marks
 
 
 def _windows_of(positions: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,25 +309,29 @@ def _windows_of(positions: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _remaining(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """name, key, copies, position of the windows that remain to be compared."""
+    """key, copies, position, name of the windows that remain to be compared."""
+    schema = pa.schema([("key", pa.int64()), ("copies", pa.int64()), ("position", pa.int32()), ("name", pa.int64())])
 
     def compute(batches):
         hasher = SpanHasher()
-        for batch in batches:
-            for key, copies, data, positions in zip(*(batch.column(c) for c in ("key", "copies", "data", "open")), strict=True):
-                symbols = _bytes(data.as_buffer())
-                at = spread(*_windows_of(positions.values.to_numpy().astype(np.int64), len(symbols)))
-                names = hasher(symbols, at, at + LENGTH)
-                for k in range(0, len(at), 1 << 16):
-                    part = slice(k, k + (1 << 16))
-                    n = len(at[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[part].view(np.int64)), pa.array(np.full(n, key.as_py())), pa.array(np.full(n, copies.as_py(), np.int32)), pa.array(at[part].astype(np.int32))],
-                        names=["name", "key", "copies", "position"],
-                    )
+
+        def parts():
+            for batch in batches:
+                for key, copies, data, positions in zip(*(batch.column(c) for c in ("key", "copies", "data", "open")), strict=True):
+                    symbols = _bytes(data.as_buffer())
+                    at = spread(*_windows_of(positions.values.to_numpy().astype(np.int64), len(symbols)))
+                    yield np.full(len(at), key.as_py()), np.full(len(at), copies.as_py()), at, hasher(symbols, at, at + LENGTH)
+
+        yield from _chunks(parts(), combine_windows, schema)
 
     rows = texts.join(marks.where(F.size("open") > 0).select("key", "open").hint("merge"), "key")
-    return rows.select("key", "copies", "data", "open").mapInArrow(compute, "name bigint, key bigint, copies int, position int")
+    return rows.select("key", "copies", "data", "open").mapInArrow(compute, "key bigint, copies bigint, position int, name bigint")
+
+
+def _equal(windows: DataFrame) -> DataFrame:
+    """key, equal: positions of the windows whose name occurs more than once."""
+    known = windows.withColumn("n", F.sum("copies").over(Window.partitionBy("name"))).where("n > 1")
+    return known.groupBy("key").agg(F.collect_list("position").alias("equal"))
 
 
 def _cleaned(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -298,13 +369,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (removed runs, start and end) and kept (the remaining bytes)."""
     rows, texts, _ = _distinct_texts(docs, id_col, text_col)
     stretches = materialize(_stretches(texts), "stretches")
-    samples = materialize(_samples(texts, stretches), "samples")
+    marks = materialize(_marks(_samples(texts, stretches)), "marks")
     discard(stretches)
-    marks = _marks(samples)
-    discard(samples)
-    windows = materialize(_remaining(texts, marks), "remaining")
-    twice = materialize(windows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"), "repeated")
-    equal = windows.select("name", "key", "position").join(twice, "name").groupBy("key").agg(F.collect_list("position").alias("equal"))
+    equal = materialize(_equal(_remaining(texts, marks)), "equal")
     found = marks.select("key", "settled").join(equal, "key", "left")
     return rows, _cleaned(texts, found).join(texts.select("key", "copies"), "key")
 

@@ -66,8 +66,9 @@ def collection():
     return texts
 
 
-@pytest.mark.parametrize("seed", [0])
-def test_against_brute_force(spark, seed, tmp_path):
+@pytest.mark.parametrize("chunk", [sd.CHUNK, 40])
+def test_against_brute_force(spark, chunk, tmp_path, monkeypatch):
+    monkeypatch.setattr(sd, "CHUNK", chunk)  # with 40, most equal suffixes meet in the shuffle, else in a chunk
     texts = collection()
     rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(None, "null id " * 100, "x", "y"), (3, texts[3], "x", "y"), (3, texts[3], "x", "y")]
     spark.createDataFrame(rows, "doc_id bigint, text string, key string, copies string").write.parquet(str(tmp_path / "documents.parquet"))
