@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, label_rows, materialize, shared_folder, shuffle_partitions, table
+from .common import discard, freed_shuffles, label_rows, materialize, shared_folder, shuffle_partitions, table
 from .hashing import SpanHasher, mix
 
 LENGTH = 400
@@ -165,9 +165,9 @@ def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     one = Window.partitionBy("key").orderBy(F.lit(1))
     texts = texts.repartition(buckets, "key").withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
     name = f"texts_{uuid.uuid4().hex}"
-    texts.join(copies, "key").select("key", "copies", "data").write.bucketBy(buckets, "key").sortBy("key").option(
-        "path", f"{shared_folder(spark)}/{name}"
-    ).option("compression", "zstd").format("parquet").saveAsTable(name)
+    writer = texts.join(copies, "key").select("key", "copies", "data").write.bucketBy(buckets, "key").sortBy("key")
+    with freed_shuffles(spark):
+        writer.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     return rows, spark.table(name), name
 
 
