@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
-Language ID (documents that it rejects go), exact dedup, SimHash near-dedup (one document of each
-group stays), benchmark decontamination, byte-level BPE encoding. All but the last stage return the
+Language ID (documents that it rejects go), exact dedup, near-dedup by five-word shingles (one document of
+each group stays), benchmark decontamination, byte-level BPE encoding. All but the last stage return the
 columns of ``documents``.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from meterlight.llm import bpe, decontaminate, exact_dedup, language_id, near_dup
 from meterlight.llm.common import materialize, table
 
 
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash the one with the least id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of documents linked by a similarity of 0.8 or more the one with the least id stays."""
+    return near_dup.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
