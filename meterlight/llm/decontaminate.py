@@ -11,8 +11,9 @@ The benchmark's windows are broadcast in blocks of a fixed number, as many passe
 documents are read whole and only their matches are shuffled.
 
 Numbers are runs of digits, with points and commas between digits. Names are capitalised words that do
-not begin a sentence (and capitalised occurrences of the same words elsewhere in the text); consecutive
-names are one slot. Units are the words of UNITS after a number.
+not begin a sentence (and, within an item, capitalised occurrences of the same words elsewhere in it);
+consecutive names are one slot. Documents are read with the capitals at the start of sentences both as
+literal words and as names, so text around a passage cannot change what matches it. Units are the words of UNITS after a number.
 
 Defined cases: null and empty texts match nothing, nor do items of fewer than ``window`` tokens or
 without a window of enough literal words. Repeated documents and items are reported under their ids; an
@@ -58,8 +59,8 @@ class Templates:
         self.units = np.array([self.hasher(u, np.array([0]), np.array([len(u)]))[0] for u in units], np.uint64)
         self.powers = powers(window)
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the template tokens, and the value of each slot (0 for literal words)."""
+    def _words(self, text: str) -> dict[str, np.ndarray] | None:
+        """The words and numbers of a text: value, number, unit, capital (and no shout), first of its sentence."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         kind = self.kind[points]
         inner = np.flatnonzero((points[1:-1] == 44) | (points[1:-1] == 46)) + 1  # points and commas between digits
@@ -76,7 +77,7 @@ class Templates:
         own = word[starts]
         starts, ends = starts[own], ends[own]
         if not len(starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return None
         value = self.hasher(self.lower[points], starts, ends)
         number = kind[starts] == DIGIT
         capital = self.upper[points[starts]] & ~number
@@ -84,38 +85,85 @@ class Templates:
         first = np.ones(len(starts), bool)  # of its sentence: a stop or nothing lies before it
         first[1:] = stops[starts[1:]] > stops[ends[:-1]]
         shout = capital & (ends - starts > 1) & self.upper[points[np.minimum(starts + 1, len(points) - 1)]]
-        name = capital & ~first & ~shout
-        if name.any():
-            name |= capital & ~shout & np.isin(value, value[name])
         unit = np.zeros(len(starts), bool)
         unit[1:] = number[:-1] & np.isin(value[1:], self.units)
-        name &= ~unit
+        return {"value": value, "number": number, "unit": unit, "capital": capital & ~shout, "first": first}
+
+    def _names(self, words: dict[str, np.ndarray]) -> np.ndarray:
+        """Capitalised words within sentences, and the same words at the start of sentences."""
+        value, capital = words["value"], words["capital"]
+        name = capital & ~words["first"]
+        if name.any():
+            name |= capital & np.isin(value, value[name])
+        return name
+
+    def _template(self, words: dict[str, np.ndarray], name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and slots of the tokens, and the word that each begins with."""
+        value, number, unit = words["value"], words["number"], words["unit"]
+        name = name & ~unit
         code = np.where(number, NUMBER_CODE, np.where(unit, UNIT_CODE, np.where(name, NAME_CODE, value)))
         slot = np.where(number | unit | name, value, np.uint64(0))
-        again = np.zeros(len(starts), bool)
+        again = np.zeros(len(value), bool)
         again[1:] = name[1:] & name[:-1]
-        if again.any():  # consecutive names: one slot, whose value is made of all
-            heads = np.flatnonzero(~again)
-            slot = np.where(name[heads], mix(np.add.reduceat(slot, heads)), slot[heads])
-            code = code[heads]
-        return code, slot
+        heads = np.flatnonzero(~again)
+        if name.any():  # consecutive names: one slot, whose value is made of all (and alike if there is one)
+            code, slot = code[heads], np.where(name[heads], mix(np.add.reduceat(slot, heads)), slot[heads])
+        return code, slot, heads
 
-    def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes and positions of the windows with enough literal words, and all slot values."""
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        if not text:
-            return none
-        code, slot = self.tokens(text)
+    def _windows(self, code: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and positions of the windows with enough literal words."""
         n = len(code) - self.window + 1
         if n <= 0:
-            return none
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         value = np.zeros(n, np.uint64)
         literal = np.zeros(n, np.int8)
         for k in range(self.window):
             value += code[k : k + n] * self.powers[k]
             literal += slot[k : k + n] == 0
         at = np.flatnonzero(literal >= self.literal)
-        return mix(value)[at], at, slot
+        return mix(value[at]), at
+
+    def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and positions of the windows with enough literal words, and all slot values, of a
+        text that is taken by itself (an item)."""
+        words = self._words(text) if text else None
+        if words is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        code, slot, _ = self._template(words, self._names(words))
+        return *self._windows(code, slot), slot
+
+    def passages(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, positions and slot values (a row each) of the windows of a text that may hold items:
+        with the capitals at the start of sentences as literal words, and as names, so that no other part of
+        the text decides what they are. Windows in which some of them are names elsewhere in the text and
+        others are not come so, too. Positions are those of the first reading."""
+        words = self._words(text) if text else None
+        if words is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, self.window), np.uint64)
+        capital, first, offsets = words["capital"], words["first"], np.arange(self.window)
+        code, slot, heads = self._template(words, capital & ~first)
+        hashes, at = self._windows(code, slot)
+        parts = [(hashes, at, slot[at[:, None] + offsets])]
+        if (capital & first).any():
+            plain_hash = np.zeros(len(code), np.uint64)
+            plain_hash[at] = hashes
+            token = np.zeros(len(capital), np.int64)  # of the first reading, by word
+            token[heads[1:]] = 1
+            token = np.cumsum(token)
+            own = self._names(words)
+            named, plain = own & first, capital & ~own
+            for name in (capital, own) if named.any() and plain.any() else (capital,):
+                code, slot, heads = self._template(words, name)
+                hashes, at = self._windows(code, slot)
+                ends = np.append(heads, len(capital))
+                place = token[ends[at + self.window] - 1] - (self.window - 1)
+                new = plain_hash[place] != hashes
+                if name is own:
+                    for some in (named, plain):
+                        sums = np.concatenate([[0], np.cumsum(some)])
+                        new &= sums[ends[at + self.window]] > sums[ends[at]]
+                parts.append((hashes[new], place[new], slot[at[new][:, None] + offsets]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,23 +186,25 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _matches(rows: DataFrame, window: int, literal: int, wanted=None) -> DataFrame:
-    """id, text_key, hash, position, slots (values within the window) of the windows of every text;
-    with ``wanted`` (a broadcast sorted array) of those whose hash is in it."""
+    """id, text_key, hash, position, slots (values within the window) of the windows of every item;
+    with ``wanted`` (a broadcast sorted array) of the passages of documents whose hash is in it."""
 
     def compute(batches):
         maker, lookup = Templates(window, literal), None
         if wanted is not None:
             lookup = HashArray(wanted.value, np.zeros((len(wanted.value), 0)))
-        offsets = np.arange(window)
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
             for k, text in enumerate(batch.column("text")):
-                hashes, at, slot = maker.windows(text.as_py())
-                if lookup is not None and len(hashes):
+                if lookup is None:
+                    hashes, at, slot = maker.windows(text.as_py())
+                    slots = slot[at[:, None] + np.arange(window)]
+                else:
+                    hashes, at, slots = maker.passages(text.as_py())
                     hit = lookup.find(hashes) >= 0
-                    hashes, at = hashes[hit], at[hit]
+                    hashes, at, slots = hashes[hit], at[hit], slots[hit]
                 if len(hashes):
-                    for column, found in zip(columns, (np.full(len(at), k), hashes, at, slot[at[:, None] + offsets].ravel()), strict=True):
+                    for column, found in zip(columns, (np.full(len(at), k), hashes, at, slots.ravel()), strict=True):
                         column.append(found)
             if not columns[0]:
                 continue

@@ -89,3 +89,18 @@ def test_drop(tables):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8]
     assert dc.drop_contaminated(docs.where("false"), items).count() == 0
     assert dc.drop_contaminated(docs, items.where("false")).count() == len(DOCS)
+
+
+def test_text_around_a_passage_does_not_hide_it(spark):
+    """Words that begin the sentences of an item occur capitalised within sentences elsewhere in the document."""
+    text = "Each farmer sells four baskets. Every basket holds nine apples. Some apples are sold twice. How many apples are sold today? Give the sum."
+    names = "Tom takes five coins from the jar and Anna takes two. Later Tom gives Anna one coin back. Tom now counts what is left in the jar."
+    other = names.replace("Tom", "Max").replace("Anna", "Eva")
+    after = " He called it Each and Every, then Some, then How, then Give, and at last Later of the years."
+    docs = [(1, text), (2, text + after), (3, after + " " + text), (4, names + after), (5, other + after), (6, after)]
+    items = [(1, text), (2, names)]
+    found = dc.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.id, r.item_id): (r.coverage, r.reparameterised) for r in found.collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+    assert got[1, 1] == got[2, 1] == got[3, 1] == (1.0, False)
+    assert got[4, 2] == (1.0, False) and got[5, 2][1]
