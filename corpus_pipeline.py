@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 Language ID (documents that it rejects go), exact dedup, near-dedup by five-word shingles (one document of
-each group stays), benchmark decontamination, byte-level BPE encoding. All but the last stage return the
+each group stays), benchmark decontamination, byte-level BPE encoding and decoding. All but the last stage return the
 columns of ``documents``.
 """
 
@@ -37,8 +37,11 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the token ids of every text and their number."""
-    return bpe.encode(docs, out="ids").withColumn("n_tokens", F.size("ids").cast("bigint"))
+    """Add the token ids of every text, their number, and whether they decode to the text's bytes."""
+    ids, decoded = "ids", "_" * (1 + max(map(len, docs.columns))) + "decoded"  # clashes with no column
+    found = bpe.decode(bpe.encode(docs, out=ids), ids, decoded)
+    same = F.col(decoded) == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return found.withColumn("n_tokens", F.size(ids).cast("bigint")).withColumn("round_trip", same).drop(decoded)
 
 
 STAGES = [

@@ -23,6 +23,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,7 +195,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "bytes", path: str
         coder = codec()
         for batch in batches:
             lists = batch.column(ids_col)
-            found = [coder.decode(np.array(x.as_py() or [], "<u4").tobytes()) for x in lists]
+            flat = lists.flatten().to_numpy().astype("<u4")  # without the values of null lists
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+            found = [coder.decode(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)

@@ -58,3 +58,10 @@ def test_against_plain_python(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     write(tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_last_stage_decodes(spark):
+    texts = ["Größe 12,5\n\tété 日本 🙂", "", None, "a" * 3000, "\ud83d broken".encode("utf-8", "replace").decode()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = corpus_pipeline.encode_tokens(spark, docs, "").collect()
+    assert [r.round_trip for r in got] == [True] * len(texts)
