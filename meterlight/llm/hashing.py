@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: An odd base of the polynomial hash, and its inverse modulo 2 ** 64.
+#: An odd base of the polynomial hash.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
@@ -27,16 +26,71 @@ def mix(value: np.ndarray) -> np.ndarray:
     return value
 
 
+def rolling(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` symbols at each place, by doubling; not linear, so independent of polynomial ones."""
+    power = symbols.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x9FB21C651E98DF25)
+    power ^= power >> np.uint64(32)
+    found, done, size = None, 0, 1
+    while True:
+        if length & size:
+            if found is None:
+                found = power
+            else:
+                found = found[: len(power) - done] * np.uint64(0xD6E8FEB86659FD93) + power[done : done + len(found)]
+                found ^= found >> np.uint64(29)
+            done += size
+        if done == length or len(power) < size:
+            break
+        power = power[: len(power) - size] * np.uint64(0xBF58476D1CE4E5B9) + power[size:]
+        power ^= power >> np.uint64(31)
+        size *= 2
+    return found[: max(len(symbols) - length + 1, 0)]
+
+
+#: White space between words.
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def words_of(data: np.ndarray, first: np.ndarray, end: np.ndarray, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of adjacent texts (``first`` and ``end`` of each) in UTF-8, and their number in each."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[first[first < len(data)]] = True
+    word = ~_SPACE[data]
+    before = np.concatenate([[False], word[:-1]]) if len(data) else word
+    starts = np.flatnonzero(word & (~before | cut[:-1]))
+    after = np.concatenate([word[1:], [False]]) if len(data) else word
+    ends = np.flatnonzero(word & (~after | cut[1:])) + 1
+    return hasher(data, starts, ends), np.diff(np.searchsorted(starts, np.append(first, end[-1:]))) if len(first) else np.zeros(0, np.int64)
+
+
+def long_words(data: np.ndarray, hasher: SpanHasher, limit: int) -> np.ndarray:
+    """Hashes of the words of one text, read in pieces of about ``limit`` bytes that end at white space."""
+    found, start, n = [np.zeros(0, np.uint64)], 0, len(data)
+    while start < n:
+        end = min(start + limit, n)
+        while end < n:
+            space = np.flatnonzero(_SPACE[data[end : end + limit]])
+            if len(space):
+                end += int(space[0])
+                break
+            end = min(end + limit, n)
+        found.append(words_of(data[start:end], np.zeros(1, np.int64), np.array([end - start]), hasher)[0])
+        start = end
+    return np.concatenate(found)
+
+
 class SpanHasher:
     """Hashes of spans of arrays of symbols; spans with the same symbols have the same hash."""
 
-    def __init__(self):
+    def __init__(self, base: int = BASE):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up, self.down = powers(0), powers(0)
 
     def __call__(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(symbols)
         if len(self.up) < n:
-            self.up, self.down = powers(2 * n), powers(2 * n, INVERSE)
+            self.up, self.down = powers(2 * n, self.base), powers(2 * n, self.inverse)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
         value = (sums[ends] - sums[starts]) * self.down[starts]
