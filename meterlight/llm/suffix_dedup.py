@@ -132,6 +132,14 @@ def union(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], np.append(last[:-1][new[1:]], last[-1])
 
 
+def intersection(first: np.ndarray, last: np.ndarray, first2: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What two sets of disjoint closed intervals have in common."""
+    start, end = np.searchsorted(last2, first, "left"), np.searchsorted(first2, last, "right")
+    own = np.repeat(np.arange(len(first)), end - start)
+    other = spread(start, end - 1)
+    return np.maximum(first[own], first2[other]), np.minimum(last[own], last2[other])
+
+
 def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All integers in disjoint closed intervals."""
     sizes = last - first + 1
@@ -195,6 +203,7 @@ class Sampler:
         self.block = (length - period + 1) // 3
         self.member = np.zeros(period, bool)
         self.member[list(cover)] = True
+        self.step = len(cover)
         self.hasher = SpanHasher()
 
     def __call__(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -206,19 +215,19 @@ class Sampler:
         parts = [[f] for f in found]
         for low, high in zip(first.tolist(), last.tolist(), strict=True):
             for start in range(low, high + 1, PIECE):
-                at = np.arange(start, min(start + PIECE, high + 1))
+                stop = min(start + PIECE, high + 1)
+                at = np.arange(start - pad, stop + pad)  # the neighbours of the second level, too
                 at = at[self.member[at % self.period]]
-                if not len(at):
-                    continue
-                a, b = int(at[0]) - pad, int(at[-1]) + pad + reach
+                a, b = start - pad, stop + pad + reach
                 near = np.full(b - a, 256, np.uint16)  # 256: before and after the text
                 near[max(-a, 0) : n - a] = symbols[max(a, 0) : b]
-                places = (at - a)[None, None, :] + np.array([-pad, 0, pad])[:, None, None] + self.block * np.arange(3)[None, :, None]
-                one = self.hasher(near, places.ravel(), places.ravel() + self.block).reshape(places.shape)
-                two = rolling(near, self.block)[places]
-                names = [_triple(*one[k]) for k in range(3)]
-                more = [_triple(*two[k]) for k in range(3)]
-                for part, value in zip(parts, (at, names[1], _triple(*names), _triple(*more)), strict=True):
+                places = (at - a)[None, :] + self.block * np.arange(3)[:, None]
+                one = _triple(*self.hasher(near, places.ravel(), places.ravel() + self.block).reshape(places.shape))
+                two = _triple(*rolling(near, self.block)[places])
+                # A period holds as many sampled positions as the cover has residues.
+                here, size = slice(self.step, len(at) - self.step), len(at) - 2 * self.step
+                names = [_triple(*(x[k * self.step : k * self.step + size] for k in range(3))) for x in (one, two)]
+                for part, value in zip(parts, (at[here], one[here], *names), strict=True):
                     part.append(value)
         return tuple(np.concatenate(p) for p in parts)
 
@@ -295,10 +304,13 @@ def _batch(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _stretches(anchors: DataFrame) -> DataFrame:
-    """key, spans (array of first, last) of the windows of bytes that may be repeated."""
+    """key, spans (array of first, last) of the windows of bytes that may be repeated. Written."""
     rows = anchors.where("not words").select("hash", "key", "first", "last")
     often = materialize(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
-    return label_rows(rows, often, "hash", "n").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    live = label_rows(rows, often, "hash", "n").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    found = materialize(live, "stretches")
+    discard(often)
+    return found
 
 
 def combine_samples(key: np.ndarray, position: np.ndarray, name: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -323,8 +335,9 @@ def combine_samples(key: np.ndarray, position: np.ndarray, name: np.ndarray, one
     last = np.concatenate([new_name[1:], [True]])
     shown = np.flatnonzero(several & (new_name | last))
     none = np.zeros(len(shown), np.int64)
+    back = np.argsort(order)  # in the order of texts and positions they compress better
     joined = zip(
-        (key, position, sent, one, two, number, remains),
+        tuple(c[back] for c in (key, position, sent, one, two, number, remains)),
         (key[shown], none - 1, name[shown], one[shown], two[shown], none.astype(np.int32), none.astype(bool)), strict=True
     )
     return tuple(np.concatenate(pair) for pair in joined)
@@ -343,7 +356,8 @@ def combine_windows(key: np.ndarray, position: np.ndarray, one: np.ndarray, two:
     copies = np.full(len(one), 2, np.int32)
     copies[starts] = np.diff(np.append(starts, len(one)))
     one[~first] = _own_names(key[~first], position[~first])
-    return key, position, one, two, copies
+    back = np.argsort(order)  # in the order of texts and positions they compress better
+    return tuple(c[back] for c in (key, position, one, two, copies))
 
 
 def _own_names(key: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -414,8 +428,9 @@ def _windows_of(positions: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
     return union(first[some], last[some])
 
 
-def _remaining(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """key, position, one, two (name), copies of the windows that remain to be compared."""
+def _remaining(texts: DataFrame, marks: DataFrame, stretches: DataFrame) -> DataFrame:
+    """key, position, one, two (name), copies of the windows that remain to be compared: those around open samples
+    that winnowing has not ruled out."""
     schema = pa.schema([("key", pa.int64()), ("position", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("copies", pa.int32())])
 
     def compute(batches):
@@ -423,9 +438,11 @@ def _remaining(texts: DataFrame, marks: DataFrame) -> DataFrame:
 
         def parts():
             for batch in batches:
-                for key, data, positions in zip(*(batch.column(c) for c in ("key", "data", "open")), strict=True):
+                for key, data, positions, spans in zip(*(batch.column(c) for c in ("key", "data", "open", "spans")), strict=True):
                     symbols = _bytes(data.as_buffer())
                     first, last = _windows_of(positions.values.to_numpy().astype(np.int64), len(symbols))
+                    live = union(*(spans.values.field(k).to_numpy().astype(np.int64) for k in (0, 1)))
+                    first, last = intersection(first, last, *live)
                     for low, high in zip(first.tolist(), last.tolist(), strict=True):
                         for start in range(low, high + 1, PIECE):
                             near = symbols[start : min(start + PIECE, high + 1) + LENGTH - 1]
@@ -434,8 +451,9 @@ def _remaining(texts: DataFrame, marks: DataFrame) -> DataFrame:
 
         yield from _chunks(parts(), combine_windows, schema)
 
-    rows = texts.join(marks.where(F.size("open") > 0).select("key", "open").hint("merge"), "key")
-    return rows.select("key", "data", "open").mapInArrow(compute, "key bigint, position int, one bigint, two bigint, copies int")
+    marks = marks.where(F.size("open") > 0).select("key", "open").join(stretches, "key")
+    rows = texts.join(marks.hint("merge"), "key")
+    return rows.select("key", "data", "open", "spans").mapInArrow(compute, "key bigint, position int, one bigint, two bigint, copies int")
 
 
 def _equal(windows: DataFrame) -> DataFrame:
@@ -447,21 +465,23 @@ def _equal(windows: DataFrame) -> DataFrame:
 
 
 def _shared_passages(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """key, passages (array of first, last) of the passages that another distinct text holds too."""
+    """key, passages (array of first, last) of the passages that another distinct text holds too. Written."""
     rows = anchors.where("words").select(F.struct("hash", "one", "two").alias("name"), "key", "first", "last")
     names = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
     names = materialize(names.withColumn("hash", F.col("name.hash")), "passage_names")
     grams = names.groupBy("hash").agg(F.count(F.lit(1)).alias("n_names"), F.min("low").alias("least"), F.max("high").alias("most"))
     grams = materialize(grams.where("least <> most").select("hash", "n_names"), "passage_grams")
-    names = label_rows(names, grams, "hash", "n_names").select(
+    shared = label_rows(names, grams, "hash", "n_names").select(
         "name", "n", "low", (F.col("low") != F.col("high")).alias("settled"), (F.col("n_names") > 1).alias("several")
     )
-    known = label_rows(rows, materialize(names, "passage_names"), "name", "n")
+    shared = materialize(shared, "passage_names")
+    known = label_rows(rows, shared, "name", "n")
     is_open = F.col("several") & (~F.col("settled") | (F.col("key") == F.col("low")))
     known = known.select("key", "first", "last", "settled", is_open.alias("open")).where("settled or open")
     span = F.struct("first", "last")
     marks = known.groupBy("key").agg(F.collect_list(F.when(F.col("settled"), span)).alias("settled"), F.collect_list(F.when(F.col("open"), span)).alias("open"))
     marks = materialize(marks, "passage_marks")
+    discard(names, grams, shared)
     schema = pa.schema([("key", pa.int64()), ("position", pa.int32()), ("one", pa.int64()), ("two", pa.int64())])
 
     def compute(batches):
@@ -483,7 +503,9 @@ def _shared_passages(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     equal = label_rows(windows, found, "name", "n").groupBy("key").agg(F.collect_list(F.struct(F.col("position").alias("first"), F.col("position").alias("last"))).alias("equal"))
     none = F.array().cast("array<struct<first:int,last:int>>")
     both = F.concat("settled", F.coalesce("equal", none))
-    return marks.join(equal, "key", "left").select("key", both.alias("passages")).where(F.size("passages") > 0)
+    passages = materialize(marks.join(equal, "key", "left").select("key", both.alias("passages")).where(F.size("passages") > 0), "passages")
+    discard(marks, windows, found)
+    return passages
 
 
 def _removed(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -540,16 +562,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, name = _distinct_texts(docs, id_col, text_col)
     texts = spark.table(name)
     anchors = materialize(_anchors(texts), "anchors")
-    stretches = materialize(_stretches(anchors), "stretches")
-    passages = materialize(_shared_passages(texts, anchors), "passages")
+    stretches = _stretches(anchors)
+    passages = _shared_passages(texts, anchors)
     discard(anchors)
     marks = materialize(_marks(_samples(texts, stretches)), "marks")
+    equal = materialize(_equal(_remaining(texts, marks, stretches)), "equal")
     discard(stretches)
-    equal = materialize(_equal(_remaining(texts, marks)), "equal")
     found = marks.select("key", "settled").join(equal, "key", "left").join(passages, "key", "full")
-    cleaned = _cleaned(texts, materialize(_removed(texts, found), "removed"))
-    cleaned = materialize(cleaned.select(*(result or ["*"])), "cleaned")
+    removed = materialize(_removed(texts, found), "removed")
     discard(marks, equal, passages)
+    cleaned = materialize(_cleaned(texts, removed).select(*(result or ["*"])), "cleaned")
+    discard(removed)
     _drop(spark, name)
     return rows, cleaned
 
