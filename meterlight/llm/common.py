@@ -8,6 +8,7 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,16 +72,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_blocks(texts: list, limit: int):
-    """Bounds of consecutive blocks of texts with at most ``limit`` characters (or one text) each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text) if text else 0
-        if size > limit and i > start:
-            yield start, i
-            start, size = i, len(text) if text else 0
-    if start < len(texts):
-        yield start, len(texts)
+def buffer_of(column) -> tuple:
+    """The bytes of an Arrow column of strings or binaries (None for lists), and its rows' offsets. Nulls are empty."""
+    width = np.int64 if str(column.type).startswith("large_") else np.int32
+    buffers = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(buffers[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if str(column.type).removeprefix("large_").startswith("list"):
+        return None, offsets
+    return np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8), offsets
 
 
 def worker_cache(name: str, make):

@@ -47,6 +47,15 @@ def rolling(symbols: np.ndarray, length: int) -> np.ndarray:
     return found[: max(len(symbols) - length + 1, 0)]
 
 
+def runs(offsets: np.ndarray, limit: int):
+    """First and end row of runs of rows with at most ``limit`` entries (or one row), by the rows' offsets."""
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        end = max(int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1, row + 1)
+        yield row, end
+        row = end
+
+
 #: White space between words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -55,8 +55,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, freed_shuffles, label_rows, materialize, shared_folder, shuffle_partitions, table
-from .hashing import SpanHasher, long_words, mix, rolling, words_of
+from .common import buffer_of, discard, freed_shuffles, label_rows, materialize, shared_folder, shuffle_partitions, table
+from .hashing import SpanHasher, long_words, mix, rolling, runs, words_of
 
 LENGTH = 400
 #: A perfect difference set: each remainder but 0 is the difference of exactly one pair.
@@ -83,16 +83,13 @@ def _bytes(data) -> np.ndarray:
 def pieces(offsets: np.ndarray, limit: int, length: int):
     """first row, end row, first byte and end byte of runs of whole texts with at most ``limit`` bytes, and of the
     parts of a longer text, which overlap so that each window of ``length`` bytes lies in one of them."""
-    row, n = 0, len(offsets) - 1
-    while row < n:
-        end = max(int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1, row + 1)
+    for row, end in runs(offsets, limit):
         a, b = int(offsets[row]), int(offsets[end])
         if b - a <= limit:
             yield row, end, a, b
         else:
             for start in range(a, max(b - length + 1, a + 1), limit):
                 yield row, end, start, min(start + limit + length - 1, b)
-        row = end
 
 
 def winnow(hashes: np.ndarray, width: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,9 +272,8 @@ def _anchors(texts: DataFrame) -> DataFrame:
     def compute(batches):
         passages = Passages()
         for batch in batches:
-            keys, column = batch.column("key").to_numpy(), batch.column("data")
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = _bytes(column.buffers()[2]) if offsets[-1] else np.zeros(0, np.uint8)
+            keys = batch.column("key").to_numpy()
+            data, offsets = buffer_of(batch.column("data"))
             for row, end, a, b in pieces(offsets, PIECE, LENGTH):
                 whole = offsets[row] == a and offsets[end] == b
                 first = offsets[row:end] - a if whole else np.zeros(1, np.int64)
