@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_io
 from .functions import buckets, maths, text
 from .operators import asof, billing, chart, cost, impact, usage
 from .plans import daily_report
@@ -405,10 +406,10 @@ def _(t):
     return billing.list_subscriptions(t.subscriptions)
 
 
-@_register("category_overrides", f"{CTES} x AS (SELECT 1) SELECT id, CASE WHEN external_id = 'in_1' THEN 'one_time' ELSE category END AS category FROM charges WHERE id < 1000")
+@_register("category_overrides", f"{CTES} x AS (SELECT 1) SELECT id, CASE WHEN external_id = 'in_1' THEN 'one_time' ELSE category END AS category FROM charges")
 def _(t):
     overrides = t.spark.createDataFrame([("in_1", "one_time"), ("row:-1", "refund")], "key string, category string")
-    rows = t.charges.where("id < 1000").withColumn("position", F.col("id"))
+    rows = t.charges.withColumn("position", F.col("id"))
     return billing.apply_overrides(rows, overrides).select("id", "category")
 
 
@@ -551,6 +552,9 @@ def _(t):
     return t.spark.table(name)
 
 
+catalog_io.register(_register, _work_folder, CTES, SUMS)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly impact by provider and model."""
     return _impact_weekly(Tables(spark, sf_dir))

@@ -60,7 +60,7 @@ FROM (VALUES
 
 CHARGES_SQL = """
 SELECT o_orderkey AS id, 'orders' AS source, CAST(o_orderdate AS DATE) AS occurred_at,
-  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN -round(o_totalprice / 1000e0, 2) ELSE round(o_totalprice / 1000e0, 2) END AS amount_usd,
+  floor(round(o_totalprice * 100) / 1000) / 100e0 * CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN -1 ELSE 1 END AS amount_usd,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Pro plan subscription' WHEN '2' THEN 'API usage overage' WHEN '3' THEN 'One-time setup'
        WHEN '4' THEN 'Credit memo' ELSE NULL END AS description,
   CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE concat('in_', CAST(o_orderkey AS VARCHAR(20))) END AS external_id

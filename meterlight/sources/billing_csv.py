@@ -15,7 +15,8 @@ HEADERS = {
     "description": ("description", "memo", "line items"),
     "external_id": ("id", "invoice id", "charge id", "number", "invoice number"),
 }
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy")
+#: The forms of dates, in order of preference.
+DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy")
 
 
 class BadCharge(ValueError):
@@ -38,7 +39,7 @@ def parse_amount(text: Column) -> Column:
     """Currency signs, commas and spaces are dropped; parentheses mean a negative amount."""
     text = F.trim(text)
     inner = F.regexp_replace(F.regexp_replace(text, r"^\((.*)\)$", "$1"), r"[$€£¥,\s]", "")
-    value = inner.try_cast("double")
+    value = F.when(inner.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), inner.try_cast("double"))
     return F.when(text.rlike(r"^\(.*\)$"), -value).otherwise(value)
 
 
@@ -53,9 +54,11 @@ def resolve_columns(header: list[str]) -> dict[str, str | None]:
 def read_charges(spark: SparkSession, path: str, source: str = "stripe_csv", check: bool = True) -> DataFrame:
     """Charges in USD, with ``position`` (row of data, from 0). The first row whose date or amount cannot
     be read makes the whole file fail, whatever its currency; ``check=False`` leaves such rows null."""
-    table = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, enforceSchema=False, mode="PERMISSIVE")
-    header = [c.lstrip("﻿") for c in table.columns]
-    table = table.toDF(*[f"c{i}" for i in range(len(header))])
+    options = {"multiLine": True, "quote": '"', "escape": '"', "inferSchema": False, "mode": "PERMISSIVE"}
+    first = spark.read.csv(path, header=False, **options).first()  # as written: Spark renames repeated names
+    header = [(c or "").lstrip("﻿") for c in first or ()]
+    names = [f"c{i}" for i in range(len(header))]
+    table = spark.read.csv(path, header=True, enforceSchema=True, schema=", ".join(f"{c} string" for c in names) or "c0 string", **options)
     found = resolve_columns(header)
     for field in ("date", "amount"):
         if found[field] is None:

@@ -105,11 +105,26 @@ class FactorsFile:
     def grid_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([tuple(r.values()) for r in self.grids], GRID_FACTORS).orderBy("region")
 
+    def most_recent_grid_accessed_at(self) -> dt.date | None:
+        return max((r["source_accessed_at"] for r in self.grids if r["source_accessed_at"]), default=None)
+
+    def snapshot(self, spark: SparkSession) -> DataFrame:
+        """All factors as one table: kind (model, grid), then provider and model, or region, in their order."""
+        models = self.model_frame(spark).withColumn("kind", F.lit("model"))
+        both = models.unionByName(self.grid_frame(spark).withColumn("kind", F.lit("grid")), allowMissingColumns=True)
+        return both.orderBy(F.desc("kind"), "provider", "model", "region")
+
     def counts(self) -> dict[str, int]:
         rates = [f.name for f in ENV_FACTORS if f.name.startswith("wh_per_mtok_")]
         return {"models": len(self.models), "regions": len(self.grids), "all_null_models": sum(all(r[c] is None for c in rates) for r in self.models)}
 
 
+def visible_factors(snapshot: DataFrame, models: DataFrame, region: str) -> DataFrame:
+    """Of a snapshot the rows of the models in a chart, and the region's."""
+    shown = snapshot.where("kind = 'model'").join(F.broadcast(models.select("model").distinct()), "model", "left_semi")
+    return shown.unionByName(snapshot.where((F.col("kind") == "grid") & (F.col("region") == region)))
+
+
 def load_text(spark: SparkSession, path: str) -> str:
     """A configuration file, from any store that Spark reads."""
     return spark.read.text(path, wholetext=True).first()[0]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,23 +24,52 @@ USAGE = "$.message.usage"
 
 def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """file_path, mtime_ns, len of the logs one level below the roots. Missing roots are skipped if there
-    are others; without any root this is an error."""
+    are others; without any root this is an error. Folders that cannot be read are skipped."""
     if not roots:
         raise ValueError("no root")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = [r for r in roots if (p := jvm.org.apache.hadoop.fs.Path(r)).getFileSystem(conf).exists(p)]
+    paths = [jvm.org.apache.hadoop.fs.Path(r) for r in roots]
+    there = [p for p in paths if p.getFileSystem(conf).exists(p)]
     if not there and len(roots) == 1:
         raise FileNotFoundError(roots[0])
     found = []
     for root in there:
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/*.jsonl")
-        for s in pattern.getFileSystem(conf).globStatus(pattern) or []:
-            if s.isFile():
-                found.append((s.getPath().toString(), s.getModificationTime() * 1_000_000, s.getLen()))
+        fs = root.getFileSystem(conf)
+        for folder in _entries(fs, root):
+            for s in _entries(fs, folder.getPath()) if folder.isDirectory() else ():
+                if s.isFile() and s.getPath().getName().endswith(".jsonl"):
+                    found.append((s.getPath().toString(), s.getModificationTime() * 1_000_000, s.getLen()))
     return spark.createDataFrame(found, "file_path string, mtime_ns bigint, len bigint").orderBy("file_path")
 
 
+def _entries(fs, folder) -> list:
+    """What a folder holds; nothing, with a warning, if it cannot be read."""
+    try:
+        return list(fs.listStatus(folder))
+    except Py4JJavaError as error:
+        warnings.warn(f"{folder.toString()} is skipped: {error.java_exception.getMessage()}", stacklevel=2)
+        return []
+
+
+def readable_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the files that can be opened and are UTF-8 throughout."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    opened = []
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        try:
+            place.getFileSystem(conf).open(place).close()
+            opened.append(path)
+        except Py4JJavaError as error:
+            warnings.warn(f"{path} is skipped: {error.java_exception.getMessage()}", stacklevel=2)
+    if not opened:
+        return []
+    text = spark.read.text(opened).select(F.col("_metadata.file_path").alias("file_path"), F.is_valid_utf8("value").alias("valid"))
+    bad = {r.file_path for r in text.where("not valid").select("file_path").distinct().collect()}
+    return [p for p in opened if jvm.org.apache.hadoop.fs.Path(p).toString() not in {jvm.org.apache.hadoop.fs.Path(b).toString() for b in bad}]
+
+
 def changed_files(files: DataFrame, state: DataFrame, source: str) -> DataFrame:
     """Files whose modification time or length is not the recorded one."""
     known = state.where(F.col("source") == source).select("file_path", "mtime_ns", "len")
@@ -52,13 +84,18 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return text.select("file_path", F.posexplode(lines).alias("line_number", "raw"))
 
 
-def _count(path: str, raw: Column) -> tuple[Column, Column]:
-    """A count (absent: 0) and whether its JSON is acceptable: a whole number, not negative."""
-    text = F.get_json_object(raw, f"{USAGE}.{path}")
-    value = text.try_cast("decimal(20,0)")
-    quoted = F.coalesce(raw.rlike('"' + path.rpartition(".")[2] + r'"\s*:\s*(?:"|null|true|false|\[|\{|-|[0-9]+[.eE])'), F.lit(False))
-    good = text.isNull() | text.rlike(r"^[0-9]+$")
-    return F.least(F.coalesce(value, F.lit(0)), F.lit(2**63 - 1).cast("decimal(20,0)")).cast("bigint"), good & ~quoted
+def _kind(json: Column, path: str) -> Column:
+    """The type of a value in parsed JSON; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+
+
+def _count(raw: Column, json: Column, path: str) -> tuple[Column, Column]:
+    """A count (absent: 0) and whether it is acceptable: a whole number of 64 bits, not negative."""
+    place = f"{USAGE}.{path}"
+    kind, text = _kind(json, place), F.get_json_object(raw, place)
+    value = text.try_cast("decimal(38,0)")
+    whole = (kind.startswith("BIGINT") | kind.startswith("DECIMAL")) & text.rlike(r"^[0-9]+$") & (value < F.lit(str(2**64)).cast("decimal(38,0)"))
+    return F.least(F.coalesce(value, F.lit(0)), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint"), kind.isNull() | F.coalesce(whole, F.lit(False))
 
 
 def parse_lines(lines: DataFrame, source: str = "claude_code", store_raw: bool = False) -> DataFrame:
@@ -67,20 +104,24 @@ def parse_lines(lines: DataFrame, source: str = "claude_code", store_raw: bool =
     Blank lines and lines of other types are skipped; lines that are no JSON object, have no type, or are
     assistant lines without a timestamp, a message or a model, or with counts that are no whole numbers,
     are malformed. Without a split of cache writes all of them count as 5-minute ones."""
-    raw = F.col("raw")
-    is_object = F.try_parse_json(raw).isNotNull() & F.trim(raw).startswith("{")
-    parsed = lines.withColumn("j", F.from_json(raw, LINE))
+    raw, json = F.col("raw"), F.col("_json")
+    parsed = lines.withColumns({"j": F.from_json(raw, LINE), "_json": F.try_parse_json(raw)})
     names = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens"]
-    counts, good = zip(*(_count(n, raw) for n in names), strict=True)
+    counts, good = zip(*(_count(raw, json, n) for n in names), strict=True)
     usage = F.get_json_object(raw, USAGE)
-    usage_ok = F.coalesce(~raw.rlike(r'"usage"\s*:\s*(?:null|"|\[|[0-9-]|true|false)'), F.lit(True))
+    is_object = _kind(json, "$").startswith("OBJECT")
+    typed = F.coalesce(_kind(json, USAGE).startswith("OBJECT"), F.lit(True))
+    typed = typed & F.coalesce(_kind(json, f"{USAGE}.cache_creation").rlike("^(OBJECT|VOID)"), F.lit(True))
+    for path in ("$.requestId", "$.sessionId", "$.cwd"):
+        typed = typed & F.coalesce(_kind(json, path).isin("STRING", "VOID"), F.lit(True))
     for g in good:
-        usage_ok = usage_ok & g
+        typed = typed & g
     at = F.try_to_timestamp(F.col("j.timestamp"))
     zoned = F.col("j.timestamp").rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)$")
-    required = at.isNotNull() & F.coalesce(zoned, F.lit(False)) & F.col("j.message.model").isNotNull() & usage_ok
+    named = F.coalesce(_kind(json, "$.message.model") == "STRING", F.lit(False)) & F.coalesce(_kind(json, "$.timestamp") == "STRING", F.lit(False))
+    required = at.isNotNull() & F.coalesce(zoned, F.lit(False)) & named & typed
     kind = (
-        F.when(F.trim(raw) == "", "skip").when(~F.coalesce(is_object, F.lit(False)) | F.col("j.type").isNull(), "malformed")
+        F.when(F.trim(raw) == "", "skip").when(~F.coalesce(is_object & (_kind(json, "$.type") == "STRING"), F.lit(False)), "malformed")
         .when(F.col("j.type") != "assistant", "skip").when(required, "event").otherwise("malformed")
     )
     split = F.get_json_object(raw, f"{USAGE}.cache_creation").isNotNull()

@@ -32,6 +32,13 @@ def synthesize_external_id(source: Column, day: Column, amount: Column, descript
     return F.pandas_udf(made, T.StringType())(source, day, amount, description)
 
 
+def with_external_ids(charges: DataFrame) -> DataFrame:
+    """The charges, those without an external id with one of their content; only these pass through Python."""
+    made = synthesize_external_id(F.col("source"), F.col("occurred_at").cast("string"), F.col("amount_usd"), F.col("description"))
+    named = charges.where(F.col("external_id").isNotNull())
+    return named.unionByName(charges.where(F.col("external_id").isNull()).withColumn("external_id", made))
+
+
 def event_key() -> Column:
     """The key by which events are told apart: request id, else content hash; null without either."""
     request = F.when(F.col("request_id").isNotNull(), F.concat(F.lit("r:"), "request_id"))
@@ -70,7 +77,8 @@ class Store:
         has_key = F.col("_key").isNotNull()
         first = Window.partitionBy("source", "_key").orderBy(*order)
         ranked = keyed.where(has_key).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-        known = self.events().withColumn("_key", event_key()).where(has_key).select("source", "_key")
+        sources = [r.source for r in rows.select("source").distinct().collect()]  # a ledger's sources are few
+        known = self.events().where(F.col("source").isin(*sources)).withColumn("_key", event_key()).where(has_key).select("source", "_key")
         # Rows without a key take no part in the window and the join, where they would all meet in one task.
         fresh = ranked.join(known, ["source", "_key"], "left_anti").unionByName(keyed.where(~has_key))
         fresh = fresh.select(*[F.col(f.name).cast(f.dataType) for f in EVENTS]).withColumn("event_date", F.to_date("occurred_at")).cache()
@@ -114,8 +122,7 @@ class Store:
 
     def insert_charges(self, rows: DataFrame) -> dict[str, int]:
         """Insert charges whose (source, external id) is new; missing ids are made from the content."""
-        made = synthesize_external_id(F.col("source"), F.col("occurred_at").cast("string"), F.col("amount_usd"), F.col("description"))
-        rows = rows.withColumn("external_id", F.coalesce("external_id", made))
+        rows = with_external_ids(rows)
         first = Window.partitionBy("source", "external_id").orderBy(*(["position"] if "position" in rows.columns else []), "occurred_at", "amount_usd")
         ranked = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
         fresh = ranked.join(self.charges().select("source", "external_id"), ["source", "external_id"], "left_anti")

@@ -13,21 +13,22 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_date
 from ..schemas import TOKEN_COLUMNS
-from ..sources.session_logs import changed_files, list_files, parse_lines, read_lines
+from ..sources.session_logs import changed_files, list_files, parse_lines, read_lines, readable_files
 from ..sources.store import Store
 
 
 def scan(spark: SparkSession, store: Store, roots: list[str], source: str = "claude_code", store_raw: bool = False, rescan: bool = False, rebuild: bool = False) -> dict[str, int]:
     """One scan; returns its counters. ``rescan`` forgets the file states, ``rebuild`` the events too.
 
-    Events are written before the states: after a crash in between, files are parsed again harmlessly."""
+    Events are written before the states: after a crash in between, files are parsed again harmlessly. Files that
+    cannot be read or are not UTF-8 count as unchanged."""
     if rescan or rebuild:
         store.clear_file_state(source)
     if rebuild:
         store.delete_events(source)
     files = list_files(spark, roots).cache()
     changed = changed_files(files, store.file_state(), source).cache()
-    paths = [r.file_path for r in changed.select("file_path").collect()]  # file names, not rows of data
+    paths = readable_files(spark, [r.file_path for r in changed.select("file_path").collect()])  # file names, not rows of data
     counts = {"files_seen": files.count(), "files_parsed": len(paths), "files_unchanged": 0, "lines_skipped": 0, "lines_malformed": 0, "events_inserted": 0, "events_duplicate": 0}
     counts["files_unchanged"] = counts["files_seen"] - counts["files_parsed"]
     if paths:
@@ -35,7 +36,7 @@ def scan(spark: SparkSession, store: Store, roots: list[str], source: str = "cla
         kinds = lines.agg(F.count_if(F.col("kind") == "skip"), F.count_if(F.col("kind") == "malformed")).first()
         found = store.insert_events(lines.where("kind = 'event'"), ["file_path", "line_number"])
         counts |= {"lines_skipped": kinds[0], "lines_malformed": kinds[1], "events_inserted": found["inserted"], "events_duplicate": found["skipped_duplicate"]}
-        store.upsert_file_state(changed.withColumns({"source": F.lit(source), "last_scanned_at": F.current_timestamp()}))
+        store.upsert_file_state(changed.where(F.col("file_path").isin(*paths)).withColumns({"source": F.lit(source), "last_scanned_at": F.current_timestamp()}))
         lines.unpersist()
     changed.unpersist()
     files.unpersist()
