@@ -88,10 +88,12 @@ impact AS (
 FIGURES = ("energy_wh", "facility_wh", "co2e_g", "water_l", "indirect_water_l")
 BANDS = "model_uncertainty_pct, co2e_uncertainty_pct, water_uncertainty_pct, indirect_water_uncertainty_pct"
 COUNTS = "events_missing_env_factor, events_using_fallback_pue, events_using_fallback_wue, events_count"
-#: Impact figures lie on a decimal grid, where sums that differ in their last bit round apart at a half. Both sides
-#: of the comparison are moved off the halves by less than the grid.
-STEADY = "1.0000000000003e0"
-ROUNDED = ", ".join(f"round({c} * {STEADY}, 4) AS {c}" for c in FIGURES)
+#: Decimals of impact figures. Energy lies on a grid of 1e-7, with PUE on one of 1e-9, and is compared there: rounded more
+#: coarsely, sums that differ in their last bit would round apart at exact halves. The other figures' grids are too fine for that,
+#: and so is that of a whole window's facility energy.
+DIGITS = {"energy_wh": 7, "facility_wh": 9, "co2e_g": 4, "water_l": 4, "indirect_water_l": 4}
+WINDOW_DIGITS = DIGITS | {"facility_wh": 4}
+ROUNDED = ", ".join(f"round({c}, {d}) AS {c}" for c, d in DIGITS.items())
 
 
 def _cells(granularity: str) -> str:
@@ -129,8 +131,8 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _figures(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) * float(STEADY), 4) for c in FIGURES})
+def _figures(df: DataFrame, digits: dict[str, int] = DIGITS) -> DataFrame:
+    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 def _cell_frame(t: Tables, granularity: str) -> DataFrame:
@@ -229,10 +231,10 @@ def _(t):
 
 
 @_register("window_impact", f"""{CTES} {_impact('month', PUE, WUE)}
-SELECT {", ".join(f"round(sum({c}) * {STEADY}, 4) AS {c}" for c in FIGURES)}, {", ".join(f"max({c}) AS {c}" for c in BANDS.split(", "))},
+SELECT {", ".join(f"round(sum({c}), {d}) AS {c}" for c, d in WINDOW_DIGITS.items())}, {", ".join(f"max({c}) AS {c}" for c in BANDS.split(", "))},
 {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS.split(", "))} FROM impact""")
 def _(t):
-    return _figures(impact.window_impact(_impact_frame(t, "month")))
+    return _figures(impact.window_impact(_impact_frame(t, "month")), WINDOW_DIGITS)
 
 
 @_register("asof_model_factors", f"""{CTES} x AS (SELECT 1)
@@ -269,7 +271,7 @@ def _(t):
 
 
 @_register("usage_daily_report", f"""{CTES} {_impact('day', PUE, WUE)}, {_cells('day')}
-SELECT i.bucket, i.provider, i.model, {", ".join("i." + c for c in TOKEN_COLUMNS)}, {", ".join(f"round(i.{c} * {STEADY}, 4) AS {c}" for c in FIGURES)}, events_count,
+SELECT i.bucket, i.provider, i.model, {", ".join("i." + c for c in TOKEN_COLUMNS)}, {", ".join(f"round(i.{c}, {d}) AS {c}" for c, d in DIGITS.items())}, events_count,
   priced, {", ".join(cost.BILLABLE_COLUMNS)}, {BILLABLE_TOTAL} AS billable_total
 FROM impact i JOIN billable b ON b.bucket = i.bucket AND b.provider = i.provider AND b.model = i.model
 WHERE i.model IN (SELECT model FROM u GROUP BY 1 HAVING sum({TOTAL}) > 0)""")
@@ -379,6 +381,13 @@ def _(t):
     return found.select("id", "plan_name", F.size("external_ids").cast("bigint").alias("n_charges"), F.md5(F.array_join("external_ids", ",")).alias("external_ids"))
 
 
+@_register("conflict_charges", f"""{CTES} x AS (SELECT 1)
+SELECT s.id, plan_name, external_id FROM subscriptions s
+JOIN charges c ON category = 'subscription' AND external_id IS NOT NULL AND started_at <= c.occurred_at AND (ended_at IS NULL OR c.occurred_at <= ended_at)""")
+def _(t):
+    return billing.conflict_charges(t.charges, t.subscriptions).select("id", "plan_name", "external_id")
+
+
 OVERLAP = f"""spans AS (
   SELECT *, (least(coalesce(epoch_ms(CAST(ended_at AS TIMESTAMP)) + 86399999, epoch_ms(TIMESTAMP '{LEDGER_END}') + 86399999), epoch_ms(TIMESTAMP '{LEDGER_END}') + 86399999)
      - greatest(epoch_ms(CAST(started_at AS TIMESTAMP)), epoch_ms(TIMESTAMP '{LEDGER_START}'))) / 86400000e0 AS days FROM subscriptions)"""

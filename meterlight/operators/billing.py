@@ -43,16 +43,27 @@ def imported_subscriptions(charges: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("amount_usd"), "description")
 
 
-def subscription_conflicts(charges: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Subscriptions (id, plan_name) during which subscription charges occurred, with the charges' external
-    ids in charge order (``position``, else date and id). Charges without an id are not listed, nor are
-    subscriptions that would have an empty list."""
+def conflict_charges(charges: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """id, plan_name, position, external_id: subscription charges that occurred during a subscription, a row for each
+    pair. Charges without an external id are left out. Both sides meet by calendar month, so the join has a key."""
     rows = charges.where((F.col("category") == "subscription") & F.col("external_id").isNotNull())
     position = F.col("position") if "position" in charges.columns else F.unix_date("occurred_at").cast("bigint")
-    rows = rows.select(F.struct(position.alias("position"), "external_id").alias("charge"), F.col("occurred_at").alias("charged_at"))
-    within = (F.col("started_at") <= F.col("charged_at")) & (F.col("ended_at").isNull() | (F.col("charged_at") <= F.col("ended_at")))
-    joined = small(subscriptions.select("id", "plan_name", "started_at", "ended_at")).join(rows, within)
-    found = joined.groupBy("id", "plan_name").agg(F.array_sort(F.collect_list("charge")).alias("charges"))
+    month = lambda day: F.to_date(F.date_trunc("month", day))
+    rows = rows.select(position.alias("position"), "external_id", F.col("occurred_at").alias("charged_at"), month("occurred_at").alias("month"))
+    last = F.broadcast(rows.agg(F.max("charged_at").alias("last")))  # one row: open subscriptions end there
+    terms = subscriptions.select("id", "plan_name", "started_at", "ended_at").join(last).withColumn("until", F.coalesce("ended_at", "last"))
+    months = F.sequence(month("started_at"), month("until"), F.expr("interval 1 month"))
+    terms = terms.where("started_at <= until").select("id", "plan_name", "started_at", "until", F.explode(months).alias("month"))
+    joined = rows.join(terms, "month").where((F.col("started_at") <= F.col("charged_at")) & (F.col("charged_at") <= F.col("until")))
+    return joined.select("id", "plan_name", "position", "external_id")
+
+
+def subscription_conflicts(charges: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions (id, plan_name) during which subscription charges occurred, with the charges' external
+    ids in charge order (``position``, else date and id). Subscriptions that would have an empty list are left
+    out. Lists are for imports of a billing export; :func:`conflict_charges` has the same as rows."""
+    grouped = conflict_charges(charges, subscriptions).groupBy("id", "plan_name")
+    found = grouped.agg(F.array_sort(F.collect_list(F.struct("position", "external_id"))).alias("charges"))
     return found.select("id", "plan_name", F.transform("charges", lambda c: c["external_id"]).alias("external_ids"))
 
 

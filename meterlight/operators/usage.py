@@ -15,14 +15,16 @@ from ..schemas import TOKEN_COLUMNS
 ALL = "all"
 #: A project parameter that matches nothing.
 NO_PROJECT = "__none__"
-#: Dimensions of at most this many rows are broadcast; larger ones are left to the optimizer.
-BROADCAST_ROWS = 100_000
+#: Dimensions that the optimizer takes to be at most so large are broadcast; others are left to it.
+BROADCAST_BYTES = 10 << 20
 SESSIONS_DEFAULT, SESSIONS_MAX = 25, 500
 
 
-def small(dimension: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The dimension with a broadcast hint, if it has at most ``limit`` rows."""
-    return F.broadcast(dimension) if dimension.limit(limit + 1).count() <= limit else dimension
+def small(dimension: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The dimension with a broadcast hint, if its plan's estimated size is within ``limit`` bytes. No job is run:
+    what turns out small only at run time is broadcast by adaptive execution."""
+    size = int(str(dimension._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(dimension) if size <= limit else dimension
 
 
 def total_tokens() -> Column:
