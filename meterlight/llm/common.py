@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (local tests) a temporary folder is set, once per session.
+    Where the setting is absent, a temporary folder is set, once per session, if the master is local; on a cluster, whose
+    machines would each write to a folder of their own, this is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="meterlight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -95,19 +98,30 @@ def worker_cache(name: str, make):
     return getattr(store, name)
 
 
-def label_rows(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per key, ``size`` its number of rows).
+def label_rows(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row per key, ``size`` its number of rows or more).
 
     Groups of a thousandth of the rows or more, of which there are at most HEAVY, go by broadcast;
-    what is left has no hot key and is merged by key.
+    what is left has no hot key and is merged by key. ``total``: the sum of the sizes, where it is known.
     """
-    least = max(2, -(-rows.count() // HEAVY))
+    least = max(2, -(-(rows.count() if total is None else total) // HEAVY))
     heavy = F.broadcast(groups.where(F.col(size) >= least))
     light = groups.where(F.col(size) < least)
     rest = rows.join(heavy.select(key), key, "left_anti")
     return rows.join(heavy, key).unionByName(rest.join(light.hint("merge"), key))
 
 
+def join_spread(rows: DataFrame, others: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """Inner join by a bigint ``key`` that many rows of either side may share: keys that a thousandth of ``rows`` or
+    more have are dealt over ``salts`` parts, in each of which the other side's rows of these keys occur."""
+    least = max(2, -(-rows.count() // HEAVY))
+    heavy = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key))
+    rest = rows.join(heavy, key, "left_anti").join(others, key)
+    dealt = rows.join(heavy, key, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    copies = others.join(heavy, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return rest.unionByName(dealt.join(copies, [key, "_salt"]).drop("_salt"))
+
+
 def keyed(docs: DataFrame, id_col: str, key: Column) -> DataFrame:
     """Each row of ``docs`` as a struct ``row``, with its key and id beside it: no column of the input can
     clash with these. ``id`` is 0 where it is null, and ``no_id`` says so, so that plain equality joins them."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, named, table, text_key, worker_cache
+from .common import join_spread, keyed, materialize, named, table, text_key, worker_cache
 from .hashing import HashArray, SpanHasher, mix, powers
 
 #: Template tokens in a window, and how many of them must be literal words.
@@ -248,7 +248,7 @@ def contaminated(
     found = materialize(found, "hits")
 
     key = ["id", "text_key", "item_id", "item_key"]
-    joined = found.join(F.broadcast(items) if blocks == 1 and hashes.count() <= block // 20 else items, "hash")
+    joined = found.join(F.broadcast(items), "hash") if items.count() <= block // 20 else join_spread(found, items, "hash")
     joined = joined.withColumn("shift", F.col("position") - F.col("item_position"))
     same = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("item"), d.alias("doc")))
     slots = joined.select(*key, "shift", F.explode(F.filter(same, lambda s: s["item"] != 0)).alias("s"))

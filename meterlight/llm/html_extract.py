@@ -2,15 +2,17 @@
 
 For every node of the DOM the density is its characters per tag, adjusted by the share of characters
 and tags that belong to links and by the page's own share. The node whose children's densities have
-the greatest sum is the article's trunk; the least density on the path from it to the body is the
-threshold that other subtrees must reach to be content as well. On pages that have ``article`` elements
-with text (else ``main``), the trunk is sought within these only, and the whole element around it is the
-article.
+the greatest sum is the article's trunk, on every page; text in inline elements counts for the block around
+it. The least density on the path from the trunk to the body is the threshold that other subtrees must reach
+to be content as well. On pages that have ``article`` elements with text (else ``main``), the trunk is
+sought within these; of the element around it, blocks below the threshold are content, too, unless more than
+half of their characters are links.
 
 Before densities are taken, subtrees that are never article text go: scripts, styles, menus, footers,
-sidebars, forms, hidden elements, and elements whose role, class or id says notice, advert, comment
-and the like, unless they hold the page's ``article`` or ``main``. Page headers go, headers within the
-article stay.
+sidebars, forms, hidden elements, and elements with a role, class or id that says notice, advert, comment
+and the like, unless they hold the page's ``article`` or ``main``. A class or id says so if all its words are
+such or say mere layout: ``ad-box`` does, ``share-price`` and ``related-work`` do not. Page headers go,
+headers within the article stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in
 page order by one space. Nothing else is dropped, and pages are read whole.
@@ -64,6 +66,11 @@ NOISE_WORDS = frozenset(
     " overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond share sharing"
     " sharebar social related recommended recommendations widget widgets toolbar pagination pager paywall toc".split()
 )
+#: Words that may stand beside these in a class or id.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box buttons container content footer form group head header holder inner item items left link links"
+    " list main outer overlay page panel post right row section side site slot small text title top unit wrap wrapper".split()
+)
 HEADER_WORDS = frozenset("header masthead topbar banner alert".split())
 COMMENT_WORDS = frozenset("comment reply".split())
 
@@ -154,6 +161,15 @@ class Dom:
             self.flow.append((stack[-1], None))
 
 
+def _says(labels: list[str], words: frozenset[str]) -> bool:
+    """Whether a class or id consists of such words, with layout words and other noise beside them at most."""
+    for label in labels:
+        parts = {w.lower() for w in WORDS.findall(label)}
+        if parts & words and parts <= LAYOUT_WORDS | NOISE_WORDS | HEADER_WORDS | COMMENT_WORDS:
+            return True
+    return False
+
+
 def _noise(dom: Dom) -> list[bool]:
     """Whether each element, or one around it, is never part of the article."""
     n = len(dom.name)
@@ -183,16 +199,17 @@ def _noise(dom: Dom) -> list[bool]:
             noise[i] = True
             continue
         role = found.get("role", "").lower()
-        words = {w.lower() for w in WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
+        labels = (found.get("class", "") + " " + found.get("id", "")).split()
         if name == "article":
-            noise[i] = inside[up] and bool(words & COMMENT_WORDS)
+            noise[i] = inside[up] and _says(labels, COMMENT_WORDS)
         elif not holds[i]:
-            noise[i] = bool(words & NOISE_WORDS) or role in NOISE_ROLES and (role != "banner" or not inside[up]) or bool(words & HEADER_WORDS) and not inside[up]
+            noise[i] = _says(labels, NOISE_WORDS) or role in NOISE_ROLES and (role != "banner" or not inside[up]) or _says(labels, HEADER_WORDS) and not inside[up]
     return noise
 
 
-def _densities(dom: Dom, noise: list[bool]) -> tuple[list[float], list[float], int]:
-    """Composite text density and density sum of every element, and the body (or the document)."""
+def _densities(dom: Dom, noise: list[bool]) -> tuple[list[float], list[float], int, list[bool]]:
+    """Composite text density and density sum of every element, the body (or the document), and which elements
+    are links for the most part."""
     n = len(dom.name)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -224,13 +241,21 @@ def _densities(dom: Dom, noise: list[bool]) -> tuple[list[float], list[float], i
         ratio = max(c / max(lc, 1) * t / lt, 1.0)
         density[i] = c / t * math.log(ratio) / math.log(base) if base > 1.0000001 else c / t * math.log(ratio)
     for i in range(1, n):
-        sums[dom.parent[i]] += density[i]
-    return density, sums, body
+        if dom.name[i] in BLOCK:  # what inline elements hold is their block's
+            sums[dom.parent[i]] += density[i]
+    return density, sums, body, [c > 0 and 2 * lc > c for c, lc in zip(chars, link_chars, strict=True)]
+
+
+def _under(dom: Dom, element: int, top: int) -> bool:
+    """Whether an element lies in the subtree of another."""
+    while element > top:
+        element = dom.parent[element]
+    return element == top
 
 
 def _content(dom: Dom, noise: list[bool]) -> list[bool]:
     """Whether each element belongs to the article."""
-    density, sums, body = _densities(dom, noise)
+    density, sums, body, linked = _densities(dom, noise)
     n = len(dom.name)
     below = [False] * n
     below[body] = True
@@ -249,15 +274,21 @@ def _content(dom: Dom, noise: list[bool]) -> list[bool]:
     while path[-1] != body and dom.parent[path[-1]] >= 0:
         path.append(dom.parent[path[-1]])
     article = next((i for i in path if dom.name[i] == "article"), None) or next((i for i in path if dom.name[i] == "main"), None)
-    chosen = [False] * n
+    chosen, threshold = [False] * n, min(density[i] for i in path)
     if article is not None:
-        chosen[article] = True
-    else:
-        threshold = min(density[i] for i in path)
-        chosen[trunk] = trunk != body or not any(dom.parent[i] == body and density[i] >= threshold for i in range(body + 1, n))
-        for i in range(body + 1, n):
-            if below[i] and not noise[i] and density[i] > 0 and density[i] >= threshold and i not in path:
+        dropped = [False] * n
+        for i in range(article, n):
+            up = dom.parent[i]
+            if i == article:
                 chosen[i] = True
+            elif chosen[up] and not dropped[up]:
+                dropped[i] = linked[i] and density[i] < threshold and dom.name[i] in BLOCK and i not in path and not _under(dom, i, trunk)
+                chosen[i] = not dropped[i]
+        return chosen
+    chosen[trunk] = trunk != body or not any(dom.parent[i] == body and density[i] >= threshold for i in range(body + 1, n))
+    for i in range(body + 1, n):
+        if below[i] and not noise[i] and density[i] > 0 and density[i] >= threshold and i not in path:
+            chosen[i] = True
     for i in range(1, n):
         if dom.parent[i] >= 0 and chosen[dom.parent[i]]:
             chosen[i] = True

@@ -7,7 +7,7 @@ n-gram, its interpolated value), and the sorted hashes of the contexts with one
 weights per language. A text gets the language of the lowest length-normalised cross-entropy. It is
 rejected where that entropy is further above the language's own than a calibrated bound.
 
-The models are fitted on ``sample`` whole documents per language, those with the least hash of the id;
+The models are fitted on ``sample`` whole documents per language, those with the least hash of id and text, repeated rows once;
 this bounds the model, which is broadcast. Prediction reads every whole text, in blocks, without a
 shuffle.
 
@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import materialize, shuffle_partitions, table, worker_cache
 from .hashing import HashArray
 
 UNKNOWN = "und"
 #: Length of the n-grams, and labelled documents per language that are learned from.
 ORDER, SAMPLE = 4, 400
+#: How many times as many documents are drawn by hash before the sample is ranked.
+MARGIN = 4
 #: Letters scored at once.
 BLOCK = 1 << 19
 #: Share of the sample that calibration may reject, and the factor put on the bound so found. A text is
@@ -264,11 +266,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     rows = labelled.select(
         F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(text_col).alias("text")
     ).where("lang is not null and text is not null")
-    hashed = F.xxhash64("key")
+    # Of a few times as many texts as are wanted, chosen by hash, those of the least hashes: no task meets a language.
+    hashed = rows.withColumn("h", F.xxhash64("key", "text"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as the model has languages
+    if not sizes:
+        return {"languages": []}
+    wanted = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, MARGIN * (sample + MARGIN) / n))])
+    few = hashed.where((F.col("h") / 2.0**64 + 0.5) <= F.try_element_at(wanted, F.col("lang")))
+    few = few.groupBy("lang", "key", "h").agg(F.first("text").alias("text"))  # repeated rows once
+    few = materialize(few, "candidates")
     first = Window.partitionBy("lang").orderBy("h", "key")
-    chosen = rows.select("lang", "key", hashed.alias("h")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
-    chosen = chosen.select("lang", "key").distinct()  # at most `sample` rows per language
-    texts = rows.join(F.broadcast(chosen), ["lang", "key"], "left_semi")
+    texts = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("lang", "text")
+    texts = materialize(texts.repartition(shuffle_partitions(spark)), "sample")
 
     def count(batches):
         lower = worker_cache("letters", _letters)

@@ -25,6 +25,8 @@ from .common import label_rows, materialize, table
 
 #: Share of a host's pages above which a line is boilerplate, and the least number of pages it must be on.
 RATIO, MIN_PAGES = 0.3, 3
+#: Hosts whose numbers of pages are broadcast; beyond, only those of large hosts are.
+HOSTS = 100_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 INVISIBLE = (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?is)<head\b.*?</head>")
@@ -64,7 +66,12 @@ def drop_boilerplate(
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     once = rows.select("row", "host", F.explode(F.array_distinct("keys")).alias("key"))
     counts = once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_pages"))
-    common = counts.join(F.broadcast(totals) if totals.count() <= 100_000 else totals, "host")
+    if totals.count() <= HOSTS:
+        common = counts.join(F.broadcast(totals), "host")
+    else:  # a large host's lines must not meet in one task
+        counts = materialize(counts, "counts")
+        sizes = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n_lines"))
+        common = label_rows(counts, materialize(totals.join(sizes, "host"), "hosts"), "host", "n_lines")
     common = common.where((F.col("n_pages") >= min_pages) & (F.col("n_pages") > ratio * F.col("n_host")))
     common = materialize(common.select(F.struct("host", "key").alias("line"), "n_pages"), "boilerplate")
     hits = label_rows(once.select("row", F.struct("host", "key").alias("line")), common, "line", "n_pages")

@@ -97,8 +97,9 @@ def _chains(value: Column, segments: int, exact: int) -> Column:
 
 def _meeting(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs more than once, with the number ``n`` of its rows."""
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialize(rows.join(counts, key), "buckets")
+    named = rows.withColumn("bucket", F.struct(*key))
+    counts = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(label_rows(named, counts, "bucket", "n").drop("bucket"), "buckets")
 
 
 def _pairs(rows: DataFrame, key: list[str], rest: str, segments: int, exact: int, distance: int) -> DataFrame:

@@ -1,5 +1,9 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from meterlight.llm import html_extract
 from meterlight.llm.html_extract import extract, main_text
 
 LONG = "Words of the article that go on for quite a while, so that their density is high."
@@ -49,3 +53,54 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, r.text[:12], len(r.text)) for r in got.collect()) == [(0, "long long lo", 499999), (1, "A x yz w", 8), (2, "", 0), (2, "", 0)]
     assert extract(pages.where("false")).count() == 0
+
+
+def test_words_of_classes_are_read_whole():
+    kept = f'<div class="share-price"><p>{LONG}</p></div><section id="related-work"><p>{LONG}</p></section>'
+    gone = '<div class="ad-box"><p>Buy!</p></div><div class="related links">more</div><div id="cookie-banner">ok?</div>'
+    assert main_text(page(f"<article><p>{LONG}</p>{kept}{gone}</article>")) == " ".join([LONG] * 3)
+
+
+def test_links_beside_the_trunk_go():
+    links = "".join(f"<li><a href={i}>another story, number {i}</a></li>" for i in range(9))
+    text = f"<p>{LONG}</p><p>{LONG} <a href=x>source</a></p><p>See <a href=y>this</a>.</p><ul><li><a href=z>kept</a></li></ul>"
+    assert main_text(page(f"<article><h1>T</h1><div>{text}</div><div><ul>{links}</ul></div></article>")) == f"T {LONG} {LONG} source See this. kept"
+
+
+def test_densities_by_definition():
+    links = "".join(f"<li><a href={i}>entry {i}</a></li>" for i in range(5))
+    dom = html_extract.Dom(page(f"<nav>{links}</nav><div><ul>{links}</ul></div><div><h1>H</h1><p>{LONG} <b>x</b><a href=z>y</a></p><p>{LONG}</p></div>"))
+    noise = html_extract._noise(dom)
+    density, sums, body, _ = html_extract._densities(dom, noise)
+
+    def within(i, top):
+        while i > top:
+            i = dom.parent[i]
+        return i == top
+
+    def linked(i):
+        return i > 0 and (dom.name[i] == "a" or linked(dom.parent[i]))
+
+    def measures(top):
+        texts = [(i, len(t.strip())) for i, t in dom.flow if t is not None and not noise[i] and within(i, top)]
+        tags = [i for i in range(len(dom.name)) if i > top and not noise[i] and within(i, top)]
+        return sum(n for _, n in texts), len(tags), sum(n for i, n in texts if linked(i)), sum(dom.name[i] == "a" for i in tags)
+
+    share = measures(body)[2] / measures(body)[0]
+    for i in range(len(dom.name)):
+        c, t, lc, lt = measures(i)
+        if noise[i] or not c:
+            assert density[i] == 0
+            continue
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        ratio = max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)
+        assert density[i] == pytest.approx(c / max(t, 1) * math.log(ratio) / math.log(base))
+        inner = [k for k in range(len(dom.name)) if dom.parent[k] == i and dom.name[k] in html_extract.BLOCK]
+        assert sums[i] == pytest.approx(sum(density[k] for k in inner))
+
+
+def test_query_needs_no_article_tags(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages.withColumn("html", F.regexp_replace("html", r"<(/?)(?:article|main)\b", "<$1div")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.op8_html_extract(spark, str(tmp_path)).collect()}
+    assert got == {r.page_id: r.text for r in html_extract.op8_html_extract(spark, "/root/testdata/sf0.001").collect()}
