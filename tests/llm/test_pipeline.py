@@ -5,10 +5,10 @@ import pyarrow.parquet as pq
 import tiktoken
 
 import corpus_pipeline
-from meterlight.llm import bpe, language_id, simhash
+from meterlight.llm import bpe, language_id
 
 from .test_decontaminate import brute as contaminated
-from .test_simhash import brute_components
+from .test_near_dup import components
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -37,7 +37,7 @@ def test_against_plain_python(spark, tmp_path):
         if d[1] not in latest or order(d) > order(latest[d[1]]):
             latest[d[1]] = d
     docs = list(latest.values())
-    roots = brute_components([simhash.fingerprint(t) for _, t, _ in docs])
+    roots = components([t for _, t, _ in docs])
     first = {}
     for d, r in zip(docs, roots, strict=True):
         if r not in first or (d[0] is None, d[0] or 0) < (first[r][0] is None, first[r][0] or 0):
