@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from py4j.protocol import Py4JJavaError
@@ -65,9 +66,20 @@ def readable_files(spark: SparkSession, paths: list[str]) -> list[str]:
             warnings.warn(f"{path} is skipped: {error.java_exception.getMessage()}", stacklevel=2)
     if not opened:
         return []
-    text = spark.read.text(opened).select(F.col("_metadata.file_path").alias("file_path"), F.is_valid_utf8("value").alias("valid"))
-    bad = {r.file_path for r in text.where("not valid").select("file_path").distinct().collect()}
-    return [p for p in opened if jvm.org.apache.hadoop.fs.Path(p).toString() not in {jvm.org.apache.hadoop.fs.Path(b).toString() for b in bad}]
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    text = spark.read.text(literal(opened)).select(place.alias("file_path"), F.is_valid_utf8("value").alias("valid"))
+    bad = {plain(r.file_path) for r in text.where("not valid").select("file_path").distinct().collect()}
+    return [p for p in opened if plain(p) not in bad]
+
+
+def plain(path: str) -> str:
+    """A path with one slash after its scheme if there is no host."""
+    return re.sub(r"^(\w+):/+", r"\1:/", path) if re.match(r"^\w+:/(?:[^/]|//)", path) else path
+
+
+def literal(paths: list[str]) -> list[str]:
+    """Paths for Spark's readers, which take them for patterns."""
+    return [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
 
 
 def changed_files(files: DataFrame, state: DataFrame, source: str) -> DataFrame:
@@ -78,7 +90,7 @@ def changed_files(files: DataFrame, state: DataFrame, source: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_path, line_number (from 0) and raw of every line."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    text = spark.read.text(literal(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     body = F.regexp_replace("value", r"\r?\n$", "")
     lines = F.when(F.length("value") > 0, F.split(body, r"\r?\n")).otherwise(F.array().cast("array<string>"))
     return text.select("file_path", F.posexplode(lines).alias("line_number", "raw"))

@@ -167,3 +167,15 @@ def test_files(spark, tmp_path):
         dims.FactorsFile("schema_version = 999")
     price = dims.PricingFile('schema_version = 1\nfile_status = "needs_review"\n[models.anthropic.opus]\nvalid_from = 2026-01-01\ninput_usd_per_mtok = 15\nsource_accessed_at = "2026-04-01"\n')
     assert (price.needs_review, price.most_recent_accessed_at(), price.frame(spark).first().input_usd_per_mtok) == (True, dt.date(2026, 4, 1), 15.0)
+
+
+def test_files_that_are_not_utf8_count_as_unchanged(spark, tmp_path):
+    folder = tmp_path / "ro[o]t" / "project"  # a root is a name, not a pattern
+    folder.mkdir(parents=True)
+    (folder / "good.jsonl").write_text('{"type":"user"}\n')
+    (folder / "bad.jsonl").write_bytes(b'{"type":"user"}\n\xff\xfe\n')
+    store = Store(spark, f"file://{tmp_path}/store")
+    for parsed, unchanged in ((1, 1), (0, 2)):
+        found = ingest.scan(spark, store, [str(tmp_path / "ro[o]t")])
+        assert (found["files_seen"], found["files_parsed"], found["files_unchanged"]) == (2, parsed, unchanged)
+    assert store.file_state().count() == 1
