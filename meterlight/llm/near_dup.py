@@ -16,6 +16,8 @@ Ids may repeat or be null. Other columns are not read. An empty table gives no r
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +31,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
 SEED = 42
 #: Sets of a bucket that are compared pair by pair, and rounds of pivots before larger ones are, too.
-BUCKET_LIMIT, ROUNDS = 8, 12
+BUCKET_LIMIT, ROUNDS = 32, 12
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -50,20 +52,22 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def compute(batches):
         random = np.random.default_rng(SEED)
-        by, turn = (random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-        by |= np.uint64(1)
+        by, turn = (random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) for _ in range(2))
+        by |= np.uint32(1)
         for batch in batches:
             texts = batch.column("text")
             nodes, bands = np.zeros(len(texts), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
             for i, text in enumerate(texts):
                 found = shingles(text.as_py())
                 nodes[i] = xxhash.xxh64_intdigest(found.tobytes(), SEED)
-                least = np.full(BANDS * ROWS, ~np.uint64(0))
-                for k in range(0, len(found), 4096):
-                    part = (found[k : k + 4096] ^ turn[:, None]) * by[:, None]
-                    least = np.minimum(least, part.min(axis=1))
+                # 32 bits multiply several times faster; a collision only adds a candidate.
+                least, short = np.full(BANDS * ROWS, ~np.uint32(0)), (found >> np.uint64(32)).astype(np.uint32)
+                for k in range(0, len(short), 1024):
+                    part = short[k : k + 1024] ^ turn
+                    part *= by
+                    np.minimum(least, part.min(axis=1), out=least)
                 data = least.tobytes()
-                bands[i] = [xxhash.xxh64_intdigest(data[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BANDS)]
+                bands[i] = [xxhash.xxh64_intdigest(data[4 * ROWS * b : 4 * ROWS * (b + 1)], b) for b in range(BANDS)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("text_key"), pa.array(nodes.view(np.int64)), lists], names=["id", "text_key", "node", "bands"]
@@ -107,6 +111,7 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, b
     """Edges u, v: every pair of one bucket (members: bucket, node) that is at least so similar is an edge or
     joined by a path of edges, and every edge is such a pair."""
     members = materialize(_crowded(members, 2), "buckets")
+    small = [members.where(F.col("n") <= bucket_limit)]
     edges, crossing = None, []
 
     def add(compared):
@@ -114,7 +119,7 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, b
         near = compared.where(F.col("similarity") >= similarity).select("u", "v")
         edges = near if edges is None else edges.unionByName(near)
 
-    for _ in range(rounds):
+    for turn in range(rounds):
         large = members.where(F.col("n") > bucket_limit)
         if large.isEmpty():
             break
@@ -122,30 +127,29 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, b
         compared = materialize(_compared(stars, sets), "stars")
         add(compared)
         far = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "similarity")
-        placed = materialize(large.where("node <> pivot").join(far, ["pivot", "node"]), "placed")
-        crossing.append(placed.select("bucket", "node", "similarity"))
-        rest = placed.where(F.col("similarity") < similarity).select("bucket", "node")
-        small = members.where(F.col("n") <= bucket_limit)
-        members = materialize(small.unionByName(_crowded(rest, 2)), "buckets")
-
+        placed = large.where("node <> pivot").join(far, ["pivot", "node"]).select(F.lit(turn).alias("turn"), "bucket", "node", "similarity")
+        crossing.append(materialize(placed, "placed"))
+        members = materialize(_crowded(crossing[-1].where(F.col("similarity") < similarity).select("bucket", "node"), 2), "buckets")
+        small.append(members.where(F.col("n") <= bucket_limit))
+    else:
+        small.append(members.where(F.col("n") > bucket_limit))
+
+    members = reduce(DataFrame.unionByName, small)
     pairs = members.select("bucket", F.col("node").alias("u")).join(members.select("bucket", F.col("node").alias("v")), "bucket").where("u < v")
     add(materialize(_compared(pairs.select("u", "v").distinct(), sets), "pairs"))
     if not crossing:
         return edges
-    roots = materialize(connected_components(edges), "roots")
-    pairs = None
-    for placed in crossing:
-        named = placed.join(roots, "node", "left").select("bucket", "node", "similarity", F.coalesce("root", "node").alias("root"))
-        named = materialize(named, "crossing")
-        inner = named.where(F.col("similarity") >= similarity)
-        # 1 - similarity is the distance from the pivot; sums of doubles may err in the last bits.
-        outer = named.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1 - 1e-9))
-        outer = outer.select("bucket", F.col("node").alias("other"), F.col("similarity").alias("other_similarity"), F.col("root").alias("other_root"))
-        reach = F.col("similarity") - F.col("other_similarity") <= 1 - similarity + 1e-9
-        found = inner.join(outer, (inner["bucket"] == outer["bucket"]) & (F.col("root") != F.col("other_root")) & reach)
-        found = found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    add(materialize(_compared(pairs.distinct(), sets), "crossing"))
+    roots = connected_components(edges)
+    named = reduce(DataFrame.unionByName, crossing).join(roots, "node", "left").select("turn", "bucket", "node", "similarity", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "crossing")
+    inner = named.where(F.col("similarity") >= similarity)
+    # 1 - similarity is the distance from the pivot; sums of doubles may err in the last bits.
+    outer = named.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1 - 1e-9))
+    outer = outer.select("turn", "bucket", F.col("node").alias("other"), F.col("similarity").alias("other_similarity"), F.col("root").alias("other_root"))
+    reach = F.col("similarity") - F.col("other_similarity") <= 1 - similarity + 1e-9
+    found = inner.join(outer, ["turn", "bucket"]).where((F.col("root") != F.col("other_root")) & reach)
+    found = found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
+    add(materialize(_compared(found.distinct(), sets), "crossing"))
     return edges
 
 
