@@ -111,11 +111,13 @@ def label_rows(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     return rows.join(heavy, key).unionByName(rest.join(light.hint("merge"), key))
 
 
-def join_spread(rows: DataFrame, others: DataFrame, key: str, salts: int = 64) -> DataFrame:
+def join_spread(rows: DataFrame, others: DataFrame, key: str, salts: int = 64, of: DataFrame | None = None) -> DataFrame:
     """Inner join by a bigint ``key`` that many rows of either side may share: keys that a thousandth of ``rows`` or
-    more have are dealt over ``salts`` parts, in each of which the other side's rows of these keys occur."""
-    least = max(2, -(-rows.count() // HEAVY))
-    heavy = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key))
+    more have are dealt over ``salts`` parts, in each of which the other side's rows of these keys occur. ``of``: a table
+    with the same keys as ``rows`` that is cheaper to read twice."""
+    of = rows if of is None else of
+    least = max(2, -(-of.count() // HEAVY))
+    heavy = F.broadcast(of.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key))
     rest = rows.join(heavy, key, "left_anti").join(others, key)
     dealt = rows.join(heavy, key, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     copies = others.join(heavy, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))

@@ -1,13 +1,19 @@
 """Near-dedup by five-word shingles: documents whose exact Jaccard similarity is 0.8 or more are one class.
 
-Candidates share one of BANDS fingerprints, each made of ROWS minima of the hashed shingles, so a pair of
-similarity s is found with probability 1 - (1 - s^ROWS)^BANDS: 0.997 at 0.8, 0.9999 at 0.85. Every candidate is
-then decided by the exact similarity of the whole texts' shingle sets.
-
-A bucket of more than ``bucket_limit`` sets is not paired off. All of it is compared with one pivot; what is
-unlike the pivot goes on as a smaller bucket. By the triangle inequality of the Jaccard distance, a set linked
-with the pivot can only be near one that is not if their distances from the pivot differ by no more than
-1 - SIMILARITY; such pairs are compared unless they are in one class already. So no pair of a bucket is lost.
+Candidates come from two sources. SimHash: fingerprints of the shingle set that are equal or, by the pigeonring
+filter of :mod:`simhash`, differ in two bits at most. As two texts of a similarity of 0.8 differ in ten of 64 bits
+on the average, these alone would miss most, so MinHash follows: sets that share one of BANDS keys, each
+made of ROWS minima of the hashed shingles, so a pair of similarity s is found with probability
+1 - (1 - s^ROWS)^BANDS at least: 0.997 at 0.8, 0.9999 at 0.85. Every candidate is then decided by the exact
+similarity of the whole texts' shingle sets.
+
+A bucket of more than ``bucket_limit`` sets is not paired off. All of it is compared with a few pivots; what is
+unlike them all goes on as a smaller bucket. By the triangle inequality of the Jaccard distance, a set linked
+with a pivot can only be near one that is not if their distances from the pivot differ by no more than
+1 - SIMILARITY; such pairs are compared unless they are in one class already. Sets that are still in a large
+bucket after ``rounds`` rounds are bucketed anew by their rarest shingles: of two sets of similarity s, each
+holds in its rarest n - s * n + 1 of n shingles one that is in the other's. Large buckets of these meet twice as
+many pivots in every round, until none is left. So no pair of a bucket is lost.
 
 Defined cases: texts are lower-cased and cut at white space; one of fewer than WORDS words is a single
 shingle, and texts without words are alike. Texts with the same shingles are one class without comparison.
@@ -21,17 +27,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, text_key
+from . import simhash
+from .common import discard, join_spread, keep_rows, label_rows, materialize, text_key
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
 SEED = 42
-#: Sets of a bucket that are compared pair by pair, and rounds of pivots before larger ones are, too.
-BUCKET_LIMIT, ROUNDS = 32, 12
+#: Sets of a bucket that are compared pair by pair; pivots of a larger one, on the average, and rounds of pivots before
+#: it is split by rare shingles.
+BUCKET_LIMIT, PIVOTS, ROUNDS = 32, 8, 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -48,7 +56,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key, node (a hash of the shingle set) and bands of every row."""
+    """id, text_key, node (a hash of the shingle set), fp (its SimHash) and bands of every row."""
 
     def compute(batches):
         random = np.random.default_rng(SEED)
@@ -56,10 +64,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         by |= np.uint32(1)
         for batch in batches:
             texts = batch.column("text")
-            nodes, bands = np.zeros(len(texts), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
+            nodes, fps, bands = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
             for i, text in enumerate(texts):
                 found = shingles(text.as_py())
                 nodes[i] = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+                fps[i] = simhash.majority(found)
                 # 32 bits multiply several times faster; a collision only adds a candidate.
                 least, short = np.full(BANDS * ROWS, ~np.uint32(0)), (found >> np.uint64(32)).astype(np.uint32)
                 for k in range(0, len(short), 1024):
@@ -70,11 +79,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 bands[i] = [xxhash.xxh64_intdigest(data[4 * ROWS * b : 4 * ROWS * (b + 1)], b) for b in range(BANDS)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_key"), pa.array(nodes.view(np.int64)), lists], names=["id", "text_key", "node", "bands"]
+                [batch.column("id"), batch.column("text_key"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), lists],
+                names=["id", "text_key", "node", "fp", "bands"],
             )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(compute, "id bigint, text_key bigint, node bigint, bands array<bigint>")
+    return rows.mapInArrow(compute, "id bigint, text_key bigint, node bigint, fp bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -93,64 +103,103 @@ def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and their exact similarity."""
+    """u, v and their exact similarity. Written."""
+    pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
     both = F.size(F.array_intersect("u_set", "v_set"))
-    joined = pairs.join(left, "u").join(right, "v")
-    return joined.select("u", "v", (both / (F.size("u_set") + F.size("v_set") - both)).alias("similarity"))
-
-
-def _crowded(members: DataFrame, least: int) -> DataFrame:
-    """Members of the buckets with at least ``least`` sets: bucket, node, pivot (a set chosen by hash) and n."""
-    rank = F.struct(F.xxhash64("node").alias("hash"), "node")
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(rank)["node"].alias("pivot"))
-    return members.select("bucket", "node").join(counts.where(F.col("n") >= least), "bucket")
-
-
-def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, bucket_limit: int = BUCKET_LIMIT, rounds: int = ROUNDS) -> DataFrame:
-    """Edges u, v: every pair of one bucket (members: bucket, node) that is at least so similar is an edge or
-    joined by a path of edges, and every edge is such a pair."""
-    members = materialize(_crowded(members, 2), "buckets")
-    small = [members.where(F.col("n") <= bucket_limit)]
-    edges, crossing = None, []
-
-    def add(compared):
-        nonlocal edges
-        near = compared.where(F.col("similarity") >= similarity).select("u", "v")
-        edges = near if edges is None else edges.unionByName(near)
-
-    for turn in range(rounds):
+    joined = join_spread(join_spread(pairs, left, "u"), right, "v", of=pairs)
+    compared = materialize(joined.select("u", "v", (both / (F.size("u_set") + F.size("v_set") - both)).alias("similarity")), "compared")
+    discard(pairs)
+    return compared
+
+
+def _crowded(members: DataFrame, least: int = 2) -> DataFrame:
+    """bucket and node of the buckets with at least ``least`` sets, and their number n. Written."""
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return materialize(label_rows(members.select("bucket", "node"), counts, "bucket", "n"), "buckets")
+
+
+def _rare(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """bucket (a shingle) and node: the rarest shingles of each set, of which two similar sets have one in common."""
+    rows = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("bucket"))
+    rows = materialize(rows, "shingles")
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "bucket"))
+    ranked = label_rows(rows, counts, "bucket", "n").withColumn("place", place)
+    # Products of doubles may err in the last bits.
+    return ranked.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).select("bucket", "node")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """u, v: all pairs of each bucket, which has ``bucket_limit`` sets at most."""
+    return members.select("bucket", F.col("node").alias("u")).join(members.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v")
+
+
+def links(
+    members: DataFrame,
+    sets: DataFrame,
+    candidates: DataFrame | None = None,
+    similarity: float = SIMILARITY,
+    bucket_limit: int = BUCKET_LIMIT,
+    rounds: int = ROUNDS,
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    """Edges u, v: every pair of one bucket (members: bucket, node) and every pair of ``candidates`` (u, v) that is at
+    least so similar is an edge or joined by a path of edges, and every edge is such a pair."""
+    members = _crowded(members)
+    pairs = [] if candidates is None else [candidates.select("u", "v")]
+    near, crossing, turn = [], [], 0
+    while True:
+        pairs.append(_pairs(members.where(F.col("n") <= bucket_limit)))
         large = members.where(F.col("n") > bucket_limit)
         if large.isEmpty():
             break
-        stars = large.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-        compared = materialize(_compared(stars, sets), "stars")
-        add(compared)
-        far = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "similarity")
-        placed = large.where("node <> pivot").join(far, ["pivot", "node"]).select(F.lit(turn).alias("turn"), "bucket", "node", "similarity")
-        crossing.append(materialize(placed, "placed"))
-        members = materialize(_crowded(crossing[-1].where(F.col("similarity") < similarity).select("bucket", "node"), 2), "buckets")
-        small.append(members.where(F.col("n") <= bucket_limit))
-    else:
-        small.append(members.where(F.col("n") > bucket_limit))
-
-    members = reduce(DataFrame.unionByName, small)
-    pairs = members.select("bucket", F.col("node").alias("u")).join(members.select("bucket", F.col("node").alias("v")), "bucket").where("u < v")
-    add(materialize(_compared(pairs.select("u", "v").distinct(), sets), "pairs"))
+        if turn == rounds:
+            members = _crowded(_rare(large.select("node").distinct(), sets, similarity))
+            turn += 1
+            continue
+        # The number of pivots grows with the rounds by rare shingles, so that few rounds are left.
+        wanted = pivots << max(0, turn - rounds)
+        chosen = large.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) < wanted).select("bucket", F.col("node").alias("pivot"))
+        stars = materialize(join_spread(large.select("bucket", "node"), chosen, "bucket").where("node <> pivot"), "stars")
+        compared = _compared(stars.select(F.col("pivot").alias("u"), F.col("node").alias("v")), sets)
+        near.append(compared)
+        known = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "similarity")
+        # Distances from a pivot beyond twice 1 - similarity bridge nothing.
+        placed = stars.join(known.where(F.col("similarity") >= 2 * similarity - 1 - 1e-9), ["pivot", "node"])
+        placed = materialize(placed.select(F.lit(turn).alias("turn"), "bucket", "pivot", "node", "similarity"), "placed")
+        crossing.append(placed)
+        done = placed.where(F.col("similarity") >= similarity).select("bucket", "node").unionByName(chosen.select("bucket", F.col("pivot").alias("node")))
+        members = _crowded(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"))
+        turn += 1
+
+    def edges():
+        return reduce(DataFrame.unionByName, near).where(F.col("similarity") >= similarity).select("u", "v")
+
+    near.append(_compared(reduce(DataFrame.unionByName, pairs), sets))
     if not crossing:
-        return edges
-    roots = connected_components(edges)
-    named = reduce(DataFrame.unionByName, crossing).join(roots, "node", "left").select("turn", "bucket", "node", "similarity", F.coalesce("root", "node").alias("root"))
+        return edges()
+    roots = connected_components(edges())
+    named = reduce(DataFrame.unionByName, crossing).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "crossing")
     inner = named.where(F.col("similarity") >= similarity)
+    outer = named.where(F.col("similarity") < similarity)
+    outer = outer.select("turn", "bucket", "pivot", F.col("node").alias("other"), F.col("similarity").alias("other_similarity"), F.col("root").alias("other_root"))
     # 1 - similarity is the distance from the pivot; sums of doubles may err in the last bits.
-    outer = named.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1 - 1e-9))
-    outer = outer.select("turn", "bucket", F.col("node").alias("other"), F.col("similarity").alias("other_similarity"), F.col("root").alias("other_root"))
     reach = F.col("similarity") - F.col("other_similarity") <= 1 - similarity + 1e-9
-    found = inner.join(outer, ["turn", "bucket"]).where((F.col("root") != F.col("other_root")) & reach)
-    found = found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-    add(materialize(_compared(found.distinct(), sets), "crossing"))
-    return edges
+    found = inner.join(outer, ["turn", "bucket", "pivot"]).where((F.col("root") != F.col("other_root")) & reach)
+    near.append(_compared(found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")), sets))
+    return edges()
+
+
+def _simhash_pairs(classes: DataFrame) -> DataFrame:
+    """u, v: one set of each of two fingerprints (classes: node, fp) that differ in at most two bits."""
+    fps = materialize(classes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    found = materialize(simhash.links(fps.select("fp")), "links")
+    left, right = (fps.select(F.col("fp").alias(f"{c}_fp"), F.col("node").alias(c)) for c in "uv")
+    found = found.select(F.col("u").alias("u_fp"), F.col("v").alias("v_fp"))
+    named = join_spread(join_spread(found, left, "u_fp"), right, "v_fp", of=found)
+    return materialize(named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "candidates")
 
 
 def drop_near_duplicates(
@@ -159,12 +208,15 @@ def drop_near_duplicates(
     """One row of ``docs`` per class: that with the least id (null ids last), then text key."""
     rows = materialize(signatures(docs, id_col, text_col), "signatures")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
-    classes = materialize(rows.groupBy("node").agg(F.min(rank).alias("best"), F.min(F.struct("text_key", "bands")).alias("one")), "classes")
-    members = classes.select("node", F.explode("one.bands").alias("bucket"))
-    members = materialize(_crowded(members, 2).select("bucket", "node"), "candidates")
-    wanted = classes.join(members.select("node").distinct(), "node").select("node", "one.text_key")
-    sets = materialize(_sets(docs, wanted, text_col), "shingles")
-    roots = connected_components(links(members, sets, similarity, bucket_limit)).withColumnRenamed("node", "linked")
+    classes = rows.groupBy("node").agg(F.min(rank).alias("best"), F.min(F.struct("text_key", "fp", "bands")).alias("one"))
+    classes = materialize(classes, "classes")
+    # Sets of one fingerprint make a bucket, too.
+    keys = F.concat("one.bands", F.array(F.xxhash64(F.lit("fp"), "one.fp")))
+    members = _crowded(classes.select("node", F.explode(keys).alias("bucket"))).select("bucket", "node")
+    candidates = _simhash_pairs(classes.select("node", "one.fp"))
+    wanted = members.select("node").unionByName(candidates.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    sets = materialize(_sets(docs, classes.join(wanted, "node").select("node", "one.text_key"), text_col), "shingles")
+    roots = connected_components(links(members, sets, candidates, similarity, bucket_limit)).withColumnRenamed("node", "linked")
     named = classes.select("node", "best").join(roots, F.col("node") == F.col("linked"), "left")
     best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return keep_rows(docs, best.select("best.id", "best.text_key"), id_col, text_col)

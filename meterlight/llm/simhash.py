@@ -51,8 +51,13 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         starts = ends - sizes
         first, last = starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist()
         hashes = [digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
     votes = np.zeros(BITS, np.int64)
-    values = np.array(hashes, ">u8")
+    values = hashes.astype(">u8")
     for k in range(0, len(values), 1 << 16):
         part = values[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)

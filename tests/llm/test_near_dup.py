@@ -39,7 +39,7 @@ def planted(rng, groups, copies, edits):
     return texts
 
 
-@pytest.mark.parametrize(("limit", "groups", "copies", "edits"), [(8, 20, 2, 4), (2, 3, 20, 9)])
+@pytest.mark.parametrize(("limit", "groups", "copies", "edits"), [(near_dup.BUCKET_LIMIT, 20, 2, 4), (2, 3, 20, 9)])
 def test_stage_finds_planted_near_copies(spark, limit, groups, copies, edits):
     texts = planted(random.Random(limit), groups, copies, edits)
     texts += ["", " \n", None, "one two", "ONE  two", "one two three", texts[0].upper()]
@@ -53,13 +53,13 @@ def test_stage_finds_planted_near_copies(spark, limit, groups, copies, edits):
         assert len(expected) == groups + 3  # each planted group is one class
 
 
-@pytest.mark.parametrize("limit", [1, 3])
-def test_no_pair_of_a_bucket_is_lost(spark, limit):
+@pytest.mark.parametrize(("limit", "rounds"), [(1, 3), (3, 3), (1, 0), (3, 1)])
+def test_no_pair_of_a_bucket_is_lost(spark, limit, rounds):
     """A chain: each set is near the next, but not the one after it."""
     rows = [(i, list(range(10 * i, 10 * i + 90))) for i in range(6)]  # 80 of 100: exactly 0.8
     sets = spark.createDataFrame(rows, "node bigint, shingles array<bigint>")
     members = spark.createDataFrame([(7, i) for i, _ in rows] + [(8, 3)], "bucket bigint, node bigint")
-    edges = near_dup.links(members, sets, bucket_limit=limit, rounds=20)
+    edges = near_dup.links(members, sets, bucket_limit=limit, rounds=rounds, pivots=1)
     roots = near_dup.connected_components(edges).collect()
     assert {r.node: r.root for r in roots} == {i: 0 for i, _ in rows}
     assert all(abs(r.u - r.v) == 1 for r in edges.collect())
