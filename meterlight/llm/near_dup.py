@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 8
 SEED = 42
 #: Sets of a bucket that are compared pair by pair; pivots of a larger one, on the average, and rounds of pivots before
 #: it is split by rare shingles.
-BUCKET_LIMIT, PIVOTS, ROUNDS = 32, 8, 2
+BUCKET_LIMIT, PIVOTS, ROUNDS = 128, 8, 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -143,9 +143,9 @@ def links(
     bucket_limit: int = BUCKET_LIMIT,
     rounds: int = ROUNDS,
     pivots: int = PIVOTS,
-) -> DataFrame:
-    """Edges u, v: every pair of one bucket (members: bucket, node) and every pair of ``candidates`` (u, v) that is at
-    least so similar is an edge or joined by a path of edges, and every edge is such a pair."""
+) -> tuple[DataFrame, DataFrame]:
+    """Edges u, v, and their components' roots (node, root): every pair of one bucket (members: bucket, node) and every
+    pair of ``candidates`` (u, v) that is at least so similar is an edge or joined by a path of edges, and every edge is such a pair."""
     members = _crowded(members)
     pairs = [] if candidates is None else [candidates.select("u", "v")]
     near, crossing, turn = [], [], 0
@@ -173,13 +173,13 @@ def links(
         members = _crowded(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"))
         turn += 1
 
-    def edges():
-        return reduce(DataFrame.unionByName, near).where(F.col("similarity") >= similarity).select("u", "v")
+    def similar(*compared):
+        return reduce(DataFrame.unionByName, compared).where(F.col("similarity") >= similarity).select("u", "v")
 
     near.append(_compared(reduce(DataFrame.unionByName, pairs), sets))
+    roots = connected_components(similar(*near))
     if not crossing:
-        return edges()
-    roots = connected_components(edges())
+        return similar(*near), roots
     named = reduce(DataFrame.unionByName, crossing).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "crossing")
     inner = named.where(F.col("similarity") >= similarity)
@@ -188,8 +188,14 @@ def links(
     # 1 - similarity is the distance from the pivot; sums of doubles may err in the last bits.
     reach = F.col("similarity") - F.col("other_similarity") <= 1 - similarity + 1e-9
     found = inner.join(outer, ["turn", "bucket", "pivot"]).where((F.col("root") != F.col("other_root")) & reach)
-    near.append(_compared(found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")), sets))
-    return edges()
+    more = _compared(found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")), sets)
+    # Only classes are left to be joined, by their roots.
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
+    bridges = similar(more).join(left, "u", "left").join(right, "v", "left")
+    joined = connected_components(bridges.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")))
+    last = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
+    roots = roots.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(joined).distinct()
+    return similar(*near, more), roots
 
 
 def _simhash_pairs(classes: DataFrame) -> DataFrame:
@@ -216,7 +222,8 @@ def drop_near_duplicates(
     candidates = _simhash_pairs(classes.select("node", "one.fp"))
     wanted = members.select("node").unionByName(candidates.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     sets = materialize(_sets(docs, classes.join(wanted, "node").select("node", "one.text_key"), text_col), "shingles")
-    roots = connected_components(links(members, sets, candidates, similarity, bucket_limit)).withColumnRenamed("node", "linked")
+    _, roots = links(members, sets, candidates, similarity, bucket_limit)
+    roots = roots.withColumnRenamed("node", "linked")
     named = classes.select("node", "best").join(roots, F.col("node") == F.col("linked"), "left")
     best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return keep_rows(docs, best.select("best.id", "best.text_key"), id_col, text_col)

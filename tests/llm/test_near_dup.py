@@ -59,8 +59,9 @@ def test_no_pair_of_a_bucket_is_lost(spark, limit, rounds):
     rows = [(i, list(range(10 * i, 10 * i + 90))) for i in range(6)]  # 80 of 100: exactly 0.8
     sets = spark.createDataFrame(rows, "node bigint, shingles array<bigint>")
     members = spark.createDataFrame([(7, i) for i, _ in rows] + [(8, 3)], "bucket bigint, node bigint")
-    edges = near_dup.links(members, sets, bucket_limit=limit, rounds=rounds, pivots=1)
-    roots = near_dup.connected_components(edges).collect()
+    edges, roots = near_dup.links(members, sets, bucket_limit=limit, rounds=rounds, pivots=1)
+    roots = roots.collect()
+    assert len(roots) == len(rows)
     assert {r.node: r.root for r in roots} == {i: 0 for i, _ in rows}
     assert all(abs(r.u - r.v) == 1 for r in edges.collect())
 
