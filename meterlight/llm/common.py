@@ -48,8 +48,8 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet, by the writer's ``options``, to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and fixes values (row numbers)
     that a recomputation could change.
@@ -57,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with freed_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     spark.sparkContext._jvm.System.gc()  # the same for broadcasts of plans no longer in use
     found = spark.read.schema(df.schema).parquet(path)
     found.folder = path

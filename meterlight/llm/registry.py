@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, lm_score, periodic_runs, simhash, suffix_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, lexical_search, line_dedup, lm_score, periodic_runs, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_lm_score": lm_score.op10_lm_score,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": chat_format.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_lexical_search": lexical_search.ORACLE_SQL,
     }
