@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, lexical_search, line_dedup, lm_score, periodic_runs, simhash, suffix_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, lexical_search, line_dedup, lm_score, metric_search, periodic_runs, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_lm_score": lm_score.op10_lm_score,
         "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_metric_search": metric_search.op12_metric_search,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
         "op11_lexical_search": lexical_search.ORACLE_SQL,
+        "op12_metric_search": metric_search.ORACLE_SQL,
     }
