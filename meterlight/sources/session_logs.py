@@ -6,7 +6,7 @@ import re
 import warnings
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,11 @@ USAGE = "$.message.usage"
 
 
 def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """file_path, mtime_ns, len of the logs one level below the roots. Missing roots are skipped if there
-    are others; without any root this is an error. Folders that cannot be read are skipped."""
+    """file_path, mtime_ns (in whole milliseconds), len of the logs one level below the roots.
+
+    The driver lists the roots; what their folders hold is listed by Spark's file index, on executors if there are many, and no
+    file is opened. Missing roots are skipped if there are others; without any root this is an error. Folders that cannot be
+    read are skipped, and so are files whose names begin with a dot or an underscore, as by all of Spark's file sources."""
     if not roots:
         raise ValueError("no root")
     jvm = spark.sparkContext._jvm
@@ -34,14 +37,20 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     there = [p for p in paths if p.getFileSystem(conf).exists(p)]
     if not there and len(roots) == 1:
         raise FileNotFoundError(roots[0])
-    found = []
+    folders, below = [], []
     for root in there:
         fs = root.getFileSystem(conf)
-        for folder in _entries(fs, root):
-            for s in _entries(fs, folder.getPath()) if folder.isDirectory() else ():
-                if s.isFile() and s.getPath().getName().endswith(".jsonl"):
-                    found.append((s.getPath().toString(), s.getModificationTime() * 1_000_000, s.getLen()))
-    return spark.createDataFrame(found, "file_path string, mtime_ns bigint, len bigint").orderBy("file_path")
+        below.append(fs.makeQualified(root).toString().rstrip("/"))
+        folders += [f.getPath().toString() for f in _entries(fs, root) if f.isDirectory() and _can(fs, f.getPath(), "READ_EXECUTE", jvm)]
+    if not folders:
+        return spark.createDataFrame([], FILES)
+    found = spark.read.format("binaryFile").options(pathGlobFilter="*.jsonl", recursiveFileLookup=True).load(literal(folders))
+    direct = "|".join(r"\Q" + b.replace(r"\E", r"\E\\E\Q") + r"\E" for b in below)
+    names = found.select(F.col("path").alias("file_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("len"))
+    return names.where(F.col("file_path").rlike(f"^(?:{direct})/[^/]+/[^/]+$")).orderBy("file_path")
+
+
+FILES = "file_path string, mtime_ns bigint, len bigint"
 
 
 def _entries(fs, folder) -> list:
@@ -53,28 +62,21 @@ def _entries(fs, folder) -> list:
         return []
 
 
-def readable_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Those of the files that can be opened and are UTF-8 throughout."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    opened = []
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        try:
-            place.getFileSystem(conf).open(place).close()
-            opened.append(path)
-        except Py4JJavaError as error:
-            warnings.warn(f"{path} is skipped: {error.java_exception.getMessage()}", stacklevel=2)
-    if not opened:
-        return []
-    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    text = spark.read.text(literal(opened)).select(place.alias("file_path"), F.is_valid_utf8("value").alias("valid"))
-    bad = {plain(r.file_path) for r in text.where("not valid").select("file_path").distinct().collect()}
-    return [p for p in opened if plain(p) not in bad]
+def _can(fs, path, action: str, jvm) -> bool:
+    """Whether a path allows an action; if not, with a warning."""
+    try:
+        fs.access(path, getattr(jvm.org.apache.hadoop.fs.permission.FsAction, action))
+        return True
+    except Py4JJavaError as error:
+        warnings.warn(f"{path.toString()} is skipped: {error.java_exception.getMessage()}", stacklevel=2)
+        return False
 
 
-def plain(path: str) -> str:
-    """A path with one slash after its scheme if there is no host."""
-    return re.sub(r"^(\w+):/+", r"\1:/", path) if re.match(r"^\w+:/(?:[^/]|//)", path) else path
+def readable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the files that may be read. One call for each, so only for use when a read has been refused."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    places = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return [path for path, place in zip(paths, places, strict=True) if _can(place.getFileSystem(conf), place, "READ", jvm)]
 
 
 def literal(paths: list[str]) -> list[str]:
@@ -88,12 +90,39 @@ def changed_files(files: DataFrame, state: DataFrame, source: str) -> DataFrame:
     return files.join(known, ["file_path", "mtime_ns", "len"], "left_anti")
 
 
+def read_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of logs of any size, which tasks read in byte ranges: file_path, block (where the range begins), place
+    (increases within a block), raw, n_bytes and valid (UTF-8). (file_path, block, place) has the order of the lines.
+
+    Files that are gone, and the rest of files that break off while they are read, are left out; :func:`whole_files` tells."""
+    text = spark.read.options(lineSep="\n", ignoreCorruptFiles=True, ignoreMissingFiles=True).text(literal(paths))
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return text.select(
+        F.regexp_replace(decoded, r"^(\w+):///", "$1:/").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+        F.regexp_replace("value", r"\r\z", "").alias("raw"), (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"), F.is_valid_utf8("value").alias("valid"),
+    )
+
+
+def whole_files(files: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The rows of ``files`` (file_path, len) that are UTF-8 throughout and of which all bytes were read."""
+    read = pieces.groupBy("file_path").agg(F.sum("n_bytes").alias("_bytes"), F.bool_and("valid").alias("_valid"))
+    found = files.join(read, "file_path", "left").where(F.coalesce("_valid", F.lit(True)) & (F.coalesce("_bytes", F.lit(0)) >= F.col("len")))
+    return found.select(*files.columns)
+
+
+def with_line_numbers(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with line_number (from 0), counted from the number of lines in each block. Blocks are few; lines are not moved."""
+    blocks = pieces.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("place").alias("_least"))
+    before = F.sum("_n").over(Window.partitionBy("file_path").orderBy("block")) - F.col("_n")
+    starts = blocks.select("file_path", "block", (before - F.col("_least")).alias("_shift"))
+    return pieces.join(starts, ["file_path", "block"]).withColumn("line_number", F.col("place") + F.col("_shift")).drop("_shift")
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_path, line_number (from 0) and raw of every line."""
-    text = spark.read.text(literal(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    body = F.regexp_replace("value", r"\r?\n$", "")
-    lines = F.when(F.length("value") > 0, F.split(body, r"\r?\n")).otherwise(F.array().cast("array<string>"))
-    return text.select("file_path", F.posexplode(lines).alias("line_number", "raw"))
+    if not paths:
+        return spark.createDataFrame([], "file_path string, line_number bigint, raw string")
+    return with_line_numbers(read_pieces(spark, paths)).select("file_path", "line_number", "raw")
 
 
 def _kind(json: Column, path: str) -> Column:

@@ -31,7 +31,7 @@ from .manifest import Part, Version, Versions, retried
 
 #: Keys that are broadcast at most from a batch or a part; parts of one level that are merged; buckets of larger key parts.
 SMALL, FAN, BUCKETS = 20_000, 8, 64
-TABLES = ("events", "keys", "file_state", "charges", "subscriptions")
+TABLES = ("events", "keys", "file_state", "charges", "subscriptions", "staging")
 
 
 def synthesize_external_id(source: Column, day: Column, amount: Column, description: Column) -> Column:
@@ -322,6 +322,11 @@ class Store:
 
     # Upkeep
 
+    def discard_staging(self, folder: str) -> None:
+        """Delete what a scan has written for its own use; what a scan that died leaves goes with :meth:`vacuum`."""
+        path = self.versions.path(folder)
+        self.versions.system(path).delete(path, True)
+
     def compact(self, fan: int = FAN) -> int:
         """Merge parts of one table, source and level wherever there are ``fan`` of them; returns the number of merges. Of
         file states and subscriptions only the latest rows are kept."""

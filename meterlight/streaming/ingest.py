@@ -7,40 +7,72 @@ source never reads a path twice, so scans list the files themselves and compare
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_date
 from ..schemas import TOKEN_COLUMNS
-from ..sources.session_logs import changed_files, list_files, parse_lines, read_lines, readable_files
+from ..sources.session_logs import changed_files, list_files, parse_lines, read_pieces, readable, whole_files
 from ..sources.store import Store
 
+COUNTERS = ("files_seen", "files_parsed", "files_unchanged", "lines_skipped", "lines_malformed", "events_inserted", "events_duplicate")
+
 
 def scan(spark: SparkSession, store: Store, roots: list[str], source: str = "claude_code", store_raw: bool = False, rescan: bool = False, rebuild: bool = False) -> dict[str, int]:
     """One scan; returns its counters. ``rescan`` forgets the file states, ``rebuild`` the events too.
 
-    Events are written before the states: after a crash in between, files are parsed again harmlessly. Files that
-    cannot be read or are not UTF-8 count as unchanged."""
-    if rescan or rebuild:
-        store.clear_file_state(source)
-    if rebuild:
-        store.delete_events(source)
+    A scan is one transaction of the store: readers see all of it or nothing, a rebuild included, and after a crash the next scan
+    starts where this one did. Files that cannot be read or are not UTF-8 count as unchanged. Texts are read once."""
+    with store.transaction():
+        if rescan or rebuild:
+            store.clear_file_state(source)
+        if rebuild:
+            store.delete_events(source)
+        counts = _scan(spark, store, roots, source, store_raw)
+    store.compact()
+    return counts
+
+
+def _scan(spark: SparkSession, store: Store, roots: list[str], source: str, store_raw: bool) -> dict[str, int]:
     files = list_files(spark, roots).cache()
     changed = changed_files(files, store.file_state(), source).cache()
-    paths = readable_files(spark, [r.file_path for r in changed.select("file_path").collect()])  # file names, not rows of data
-    counts = {"files_seen": files.count(), "files_parsed": len(paths), "files_unchanged": 0, "lines_skipped": 0, "lines_malformed": 0, "events_inserted": 0, "events_duplicate": 0}
-    counts["files_unchanged"] = counts["files_seen"] - counts["files_parsed"]
-    if paths:
-        lines = parse_lines(read_lines(spark, paths), source, store_raw).cache()
+    try:
+        counts = dict.fromkeys(COUNTERS, 0) | {"files_seen": files.count()}
+        paths = [r.file_path for r in changed.select("file_path").collect()]  # names of files, from which a read is planned
+        if paths:
+            counts |= _ingest(spark, store, changed, paths, source, store_raw)
+        counts["files_unchanged"] = counts["files_seen"] - counts["files_parsed"]
+        return counts
+    finally:
+        changed.unpersist()
+        files.unpersist()
+
+
+def _ingest(spark: SparkSession, store: Store, changed: DataFrame, paths: list[str], source: str, store_raw: bool) -> dict[str, int]:
+    """Parse files and take in their events; what is parsed is written, so that the files are read only once."""
+    folder = f"{store.folder}/staging/part={uuid.uuid4().hex}"
+    parse = lambda names: parse_lines(read_pieces(spark, names), source, store_raw).write.mode("overwrite").parquet(folder)
+    try:
+        try:
+            parse(paths)
+        except Exception as error:  # noqa: BLE001
+            if "AccessControlException" not in str(error):
+                raise
+            parse(readable(spark, paths))
+        lines = spark.read.parquet(folder)
+        good = whole_files(changed, lines).cache()
+        n = good.count()
+        if n < len(paths):
+            lines = lines.join(good.select("file_path"), "file_path", "left_semi")
         kinds = lines.agg(F.count_if(F.col("kind") == "skip"), F.count_if(F.col("kind") == "malformed")).first()
-        found = store.insert_events(lines.where("kind = 'event'"), ["file_path", "line_number"])
-        counts |= {"lines_skipped": kinds[0], "lines_malformed": kinds[1], "events_inserted": found["inserted"], "events_duplicate": found["skipped_duplicate"]}
-        store.upsert_file_state(changed.where(F.col("file_path").isin(*paths)).withColumns({"source": F.lit(source), "last_scanned_at": F.current_timestamp()}))
-        lines.unpersist()
-    changed.unpersist()
-    files.unpersist()
-    return counts
+        found = store.insert_events(lines.where("kind = 'event'"), ["file_path", "block", "place"])
+        store.upsert_file_state(good.withColumns({"source": F.lit(source), "last_scanned_at": F.current_timestamp()}))
+        good.unpersist()
+    finally:
+        store.discard_staging(folder)
+    return {"files_parsed": n, "lines_skipped": kinds[0], "lines_malformed": kinds[1], "events_inserted": found["inserted"], "events_duplicate": found["skipped_duplicate"]}
 
 
 def scan_forever(spark: SparkSession, store: Store, roots: list[str], interval_seconds: float = 60, rounds: int | None = None, log=print) -> None:
@@ -50,6 +82,7 @@ def scan_forever(spark: SparkSession, store: Store, roots: list[str], interval_s
     while rounds is None or done < rounds:
         try:
             scan(spark, store, roots)
+            store.vacuum()
         except Exception as error:  # noqa: BLE001 - a failed round must not end the loop
             log(f"scan failed: {error}")
         done += 1
