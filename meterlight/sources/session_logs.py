@@ -47,9 +47,29 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     found = spark.read.format("binaryFile").options(pathGlobFilter="*.jsonl", recursiveFileLookup=True).load(literal(folders))
     direct = "|".join(r"\Q" + b.replace(r"\E", r"\E\\E\Q") + r"\E" for b in below)
     names = found.select(F.col("path").alias("file_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("len"))
+    names = names.unionByName(_empty_files(spark, found, names))
     return names.where(F.col("file_path").rlike(f"^(?:{direct})/[^/]+/[^/]+$")).orderBy("file_path")
 
 
+def _empty_files(spark: SparkSession, found: DataFrame, names: DataFrame) -> DataFrame:
+    """The empty files among those of a listing, which Spark's file sources leave out when they read. Only if there are any
+    are the names fetched, and only the empty files are looked at one by one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    empty = []
+    if len(found._jdf.inputFiles()) != names.count():
+        rows = spark.createDataFrame([(n,) for n in found.inputFiles()], "name string").select(_decoded(F.col("name")).alias("file_path"))
+        for r in rows.join(names, "file_path", "left_anti").collect():
+            path = jvm.org.apache.hadoop.fs.Path(r.file_path)
+            status = path.getFileSystem(conf).getFileStatus(path)
+            empty.append((r.file_path, status.getModificationTime() * 1_000_000, status.getLen()))
+    return spark.createDataFrame(empty, FILES)
+
+
+def _decoded(name: Column) -> Column:
+    """The path that a URI of Spark's file sources names."""
+    return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"^(\w+):///", "$1:/")
+
+
 FILES = "file_path string, mtime_ns bigint, len bigint"
 
 
@@ -96,9 +116,8 @@ def read_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Files that are gone, and the rest of files that break off while they are read, are left out; :func:`whole_files` tells."""
     text = spark.read.options(lineSep="\n", ignoreCorruptFiles=True, ignoreMissingFiles=True).text(literal(paths))
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return text.select(
-        F.regexp_replace(decoded, r"^(\w+):///", "$1:/").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+        _decoded(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
         F.regexp_replace("value", r"\r\z", "").alias("raw"), (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"), F.is_valid_utf8("value").alias("valid"),
     )
 

@@ -151,6 +151,10 @@ class Store:
     def _keys(self, parts: list[Part]) -> DataFrame:
         return self._load("keys", parts, "source string, key string").select("key")
 
+    def known_keys(self) -> DataFrame:
+        """_key of all events with a key."""
+        return self._keys(self.version().of("keys")).withColumnRenamed("key", "_key")
+
     @contextlib.contextmanager
     def unknown(self, batch: DataFrame, n: int, sources: list[str]) -> Iterator[DataFrame]:
         """The rows of ``batch`` (``n`` at most, of these sources) whose column _key the index does not hold. To be used within
