@@ -212,9 +212,11 @@ def _(t):
     return usage.health_summary(t.events, t.sources).withColumn("providers", F.array_join("providers", ","))
 
 
-@_register("source_kinds", f"SELECT kind FROM ({adapter.SOURCES_SQL})")
+@_register("source_kinds", f"{CTES} x AS (SELECT 1) SELECT kind, (SELECT count(*) FROM usage_events WHERE source = kind) AS events_count FROM sources")
 def _(t):
-    return usage.source_kinds(t.sources)
+    """The kinds with their events, those without events too."""
+    found = t.events.groupBy(F.col("source").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return usage.source_kinds(t.sources).join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("events_count"))
 
 
 # Impact
@@ -245,26 +247,67 @@ def _(t):
     return asof.asof_join(rows, t.factors, ["provider", "model"], F.to_date("occurred_at"), prefix="ef_").select("event_id", "ef_wh_per_mtok_input", "ef__matched")
 
 
-@_register("lookup_model_factors", f"SELECT model, wh_per_mtok_input FROM ({adapter.FACTORS_SQL}) WHERE model = 'model-large' AND valid_from = DATE '2024-01-15'")
+@_register("asof_customers", """
+WITH v AS (SELECT c_custkey AS user_id, CAST(DATE '2024-01-01' + CAST((c_custkey * 7 + k * 11) % 40 AS INT) AS DATE) AS valid_from, c_acctbal + k AS balance FROM customer, (VALUES (0), (1), (2)) AS t(k))
+SELECT event_id, balance, valid_from, v.user_id IS NOT NULL AS _matched FROM (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events) e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.day >= v.valid_from""")
 def _(t):
-    return asof.lookup_environmental_factors(t.factors, "anthropic", "model-large", "2024-01-29").select("model", "wh_per_mtok_input")
+    """A dimension of any size: three versions of every customer."""
+    first = F.lit("2024-01-01").cast("date")
+    versions = t.spark.read.parquet(f"{t.sf_dir}/customer.parquet").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    versions = versions.select(F.col("c_custkey").alias("user_id"), F.date_add(first, ((F.col("c_custkey") * 7 + F.col("k") * 11) % 40).cast("int")).alias("valid_from"), (F.col("c_acctbal") + F.col("k")).alias("balance"))
+    rows = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return asof.asof_join_by_days(rows, versions, ["user_id"], F.to_date("ts")).select("event_id", "balance", "valid_from", "_matched")
 
 
-@_register("lookup_grid_factors", f"SELECT region, co2e_kg_per_kwh, pue FROM ({adapter.GRIDS_SQL}) WHERE region = '{REGION}' AND valid_from = DATE '2024-01-03'")
+@_register("asof_part_prices", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS day, l_extendedprice, l_returnflag FROM lineitem),
+v AS (SELECT l_partkey, day AS valid_from, max(l_extendedprice) AS price FROM l WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, price FROM l ASOF LEFT JOIN v ON l.l_partkey = v.l_partkey AND l.day >= v.valid_from""")
 def _(t):
-    return asof.lookup_grid_factors(t.grids, REGION, "2024-01-19").select("region", "co2e_kg_per_kwh", "pue")
+    """Each line with the highest price at which its part last came back until that day."""
+    lines = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").withColumn("day", F.to_date("l_shipdate")).select("l_orderkey", "l_linenumber", "l_partkey", "day", "l_extendedprice", "l_returnflag")
+    versions = lines.where("l_returnflag = 'R'").groupBy("l_partkey", F.col("day").alias("valid_from")).agg(F.max("l_extendedprice").alias("price"))
+    return asof.asof_join_by_days(lines, versions, ["l_partkey"], F.col("day")).select("l_orderkey", "l_linenumber", "price")
 
 
-@_register("all_null_factor_rows", "SELECT CAST(0 AS BIGINT) AS all_null_rows")
+VALID = "{v}.valid_from <= a.day AND ({v}.nx IS NULL OR a.day < {v}.nx) AND ({v}.valid_to IS NULL OR a.day < {v}.valid_to)"
+
+
+@_register("lookup_model_factors", f"""{CTES} a AS (SELECT DISTINCT provider, model, CAST(occurred_at AS DATE) AS day FROM u)
+SELECT a.model, a.day, ef.wh_per_mtok_input, ef.valid_from FROM a LEFT JOIN ef ON ef.provider = a.provider AND ef.model = a.model AND {VALID.format(v='ef')}""")
+def _(t):
+    """The factors of every model on every day on which it was used."""
+    asked = usage.usage(t.events, t.sources, START, END).select("provider", "model", F.to_date("occurred_at").alias("day")).distinct()
+    return asof.lookup_all(asked, t.factors, ["provider", "model"], "day").select("model", "day", "wh_per_mtok_input", "valid_from")
+
+
+@_register("lookup_grid_factors", f"""{CTES} a AS (SELECT DISTINCT CAST(occurred_at AS DATE) AS day FROM u)
+SELECT a.day, gf.region, gf.co2e_kg_per_kwh, gf.pue FROM a LEFT JOIN gf ON {VALID.format(v='gf')}""")
+def _(t):
+    asked = usage.usage(t.events, t.sources, START, END).select(F.lit(REGION).alias("region"), F.to_date("occurred_at").alias("day")).distinct()
+    found = asof.lookup_all(asked, t.grids, ["region"], "day")
+    return found.select("day", F.when(F.col("_matched"), F.col("region")).alias("region"), "co2e_kg_per_kwh", "pue")
+
+
+@_register("all_null_factor_rows", f"""{CTES} f AS (SELECT model, day(occurred_at) AS d, max(CASE WHEN event_id % 8 = 0 THEN input_tokens END) AS a, max(CASE WHEN event_id % 16 = 1 THEN output_tokens END) AS b FROM u GROUP BY 1, 2)
+SELECT count(*) FILTER (WHERE a IS NULL AND b IS NULL) AS all_null_rows FROM f""")
 def _(t):
-    return impact.all_null_factor_rows(t.factors)
+    """Factors per model and day, some of them without any figure, made from the events."""
+    rows = usage.usage(t.events, t.sources, START, END).groupBy("model", F.dayofmonth("occurred_at").alias("d"))
+    made = rows.agg(F.max(F.when(F.col("event_id") % 8 == 0, F.col("input_tokens"))).alias("a"), F.max(F.when(F.col("event_id") % 16 == 1, F.col("output_tokens"))).alias("b"))
+    none = F.lit(None).cast("double")
+    return impact.all_null_factor_rows(made.select("model", *[c.alias(n) for c, n in zip((F.col("a"), F.col("b"), none, none, none), impact.WH_COLUMNS, strict=True)]))
 
 
-@_register("grid_sentinels", f"SELECT region, valid_from, CASE WHEN co2e_kg_per_kwh <> 0 THEN co2e_kg_per_kwh END AS co2e_kg_per_kwh, CASE WHEN pue <> 1 THEN pue END AS pue FROM ({adapter.GRIDS_SQL})")
+@_register("grid_sentinels", """SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS co2e_kg_per_kwh, CASE WHEN s_suppkey % 3 <> 0 THEN 1.5e0 END AS pue FROM supplier""")
 def _(t):
+    """A grid row for every supplier, with sentinels (0, and a PUE of 1) for what is not known."""
     from .sources.dims import sentinels_to_null
 
-    return sentinels_to_null(t.grids).select("region", "valid_from", "co2e_kg_per_kwh", "pue")
+    rows = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet")
+    key, none = F.col("s_suppkey"), F.lit(None).cast("double")
+    made = rows.select("s_suppkey", F.when(key % 5 == 0, 0.0).otherwise(F.col("s_acctbal")).alias("co2e_kg_per_kwh"), F.when(key % 3 == 0, 1.0).otherwise(1.5).alias("pue"), none.alias("water_l_per_kwh"), none.alias("indirect_water_l_per_kwh"))
+    return sentinels_to_null(made).select("s_suppkey", "co2e_kg_per_kwh", "pue")
 
 
 # Cost

@@ -9,7 +9,7 @@ from ..functions.buckets import bucket_label
 from ..functions.maths import combine_uncertainty, energy_wh, fallbacks, impact_columns
 from ..schemas import TOKEN_COLUMNS
 from .asof import asof_join
-from .usage import ALL, usage
+from .usage import ALL, events_count, usage
 
 WH_COLUMNS = ["wh_per_mtok_input", "wh_per_mtok_output", "wh_per_mtok_cache_read", "wh_per_mtok_cache_write_5m", "wh_per_mtok_cache_write_1h"]
 
@@ -43,7 +43,7 @@ def aggregate_impact_by_bucket(
     counts of events with missing or replaced factors."""
     rows = impact_rows(usage(events, sources, start, end, provider, projects), factors, grids, region, fallback_pue, fallback_wue)
     band = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("int")
-    count_if = lambda c: F.count_if(c).alias
+    count_if = lambda c: events_count(rows, c).alias
     grouped = rows.groupBy(bucket_label(F.col("occurred_at"), granularity).alias("bucket"), "provider", "model").agg(
         *[F.sum(c).cast("bigint").alias(c) for c in TOKEN_COLUMNS],
         *[F.sum(c).alias(c) for c in ("energy_wh", "facility_wh", "co2e_g", "water_l", "indirect_water_l")],
@@ -54,7 +54,7 @@ def aggregate_impact_by_bucket(
         count_if(~F.col("ef__matched"))("events_missing_env_factor"),
         count_if(F.col("gf_pue").isNull())("events_using_fallback_pue"),
         count_if(F.col("gf_water_l_per_kwh").isNull())("events_using_fallback_wue"),
-        F.count(F.lit(1)).alias("events_count"),
+        events_count(rows).alias("events_count"),
     )
     model = F.col("model_uncertainty_pct")
     return grouped.select(

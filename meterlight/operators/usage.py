@@ -1,7 +1,8 @@
 """Token totals by day, model, project and session.
 
 Every function takes the events table and the sources dimension (kind, provider) and returns a lazy
-DataFrame: one scan with the time range pushed down, a broadcast join and one aggregation.
+DataFrame: one scan with the time range pushed down, a broadcast join and one aggregation. All but the sessions can also be
+taken from the store's daily totals, which have a column events_count, instead of the events.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ BROADCAST_BYTES = 10 << 20
 SESSIONS_DEFAULT, SESSIONS_MAX = 25, 500
 
 
+def is_small(dimension: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the estimated size of the dimension's plan is within ``limit`` bytes. No job is run."""
+    return int(str(dimension._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def small(dimension: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The dimension with a broadcast hint, if its plan's estimated size is within ``limit`` bytes. No job is run:
-    what turns out small only at run time is broadcast by adaptive execution."""
-    size = int(str(dimension._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(dimension) if size <= limit else dimension
+    """The dimension with a broadcast hint, if :func:`is_small`; what turns out small only at run time is broadcast by
+    adaptive execution."""
+    return F.broadcast(dimension) if is_small(dimension, limit) else dimension
 
 
 def total_tokens() -> Column:
@@ -71,6 +76,12 @@ def usage(events: DataFrame, sources: DataFrame, start, end, provider: str = ALL
     return rows.join(small(kinds), "source")
 
 
+def events_count(rows: DataFrame, where: Column | None = None) -> Column:
+    """The number of events (for which ``where`` holds) behind ``rows``, which are events or daily totals of events."""
+    one = F.col("events_count") if "events_count" in rows.columns else F.lit(1)
+    return F.coalesce(F.sum(one if where is None else F.when(where, one)), F.lit(0)).cast("bigint")
+
+
 def _sums() -> list[Column]:
     return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in TOKEN_COLUMNS]
 
@@ -96,14 +107,14 @@ def list_models_in_window(events, sources, start, end, provider: str = ALL) -> D
 def list_projects_with_totals(events, sources, start, end, provider: str = ALL) -> DataFrame:
     """project_id, events_count, total_tokens; ties go by project."""
     rows = usage(events, sources, start, end, provider).where(F.col("project_id").isNotNull())
-    found = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("events_count"), F.sum(total_tokens()).alias("total_tokens"))
+    found = rows.groupBy("project_id").agg(events_count(rows).alias("events_count"), F.sum(total_tokens()).alias("total_tokens"))
     return found.orderBy(F.desc("total_tokens"), "project_id")
 
 
 def usage_by_model(events, sources, start, end, provider: str = ALL) -> DataFrame:
     """model, events_count and the five token sums, models without tokens included; ties go by model."""
     rows = usage(events, sources, start, end, provider)
-    found = rows.groupBy("model").agg(F.count(F.lit(1)).alias("events_count"), *_sums())
+    found = rows.groupBy("model").agg(events_count(rows).alias("events_count"), *_sums())
     return found.orderBy(F.desc(total_tokens()), "model")
 
 
@@ -118,7 +129,7 @@ def recent_sessions(events: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def count_events(events: DataFrame) -> DataFrame:
-    return events.agg(F.count(F.lit(1)).alias("events_count"))
+    return events.agg(events_count(events).alias("events_count"))
 
 
 def source_kinds(sources: DataFrame) -> DataFrame:

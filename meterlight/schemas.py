@@ -18,6 +18,8 @@ EVENTS = _schema(
     ("source", S), ("occurred_at", TS), ("model", S), *((c, L) for c in TOKEN_COLUMNS),
     ("request_id", S), ("content_hash", S), ("session_id", S), ("project_id", S), ("workspace_id", S), ("api_key_id", S), ("raw", S),
 )
+#: Token sums of a day (occurred_at is its midnight), source, model and project.
+TOTALS = _schema(("source", S), ("occurred_at", TS), ("model", S), ("project_id", S), *((c, L) for c in TOKEN_COLUMNS), ("events_count", L))
 SOURCES = _schema(("kind", S), ("display_name", S), ("enabled", B), ("provider", S))
 PRICING = _schema(
     ("provider", S), ("model", S), ("display_name", S), ("valid_from", DATE),

@@ -6,7 +6,7 @@ one. Readers keep the version they began with. Deleting a source leaves its part
 Events are partitioned by source and day. Beside them lies an index of their keys: parts of up to SMALL keys are single
 files, larger ones are bucketed and sorted by key. A batch is deduplicated in itself (the first row in a given order
 wins) and compared with the index alone: a batch of up to SMALL rows goes to the index by broadcast, a larger one is dealt to
-the index's buckets, and the index is never shuffled.
+the index's buckets, and the index is never shuffled. Every insert also adds the daily totals of its rows.
 
 File states and subscriptions are logs of which the latest row per key counts. :meth:`Store.compact` merges parts of
 like size, FAN at a time, so their number grows with the logarithm of the number of writes.
@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import CHARGES, EVENTS, FILE_STATE
+from ..schemas import CHARGES, EVENTS, FILE_STATE, TOKEN_COLUMNS, TOTALS
 from .manifest import Part, Version, Versions, retried
 
 #: Keys that are broadcast at most from a batch or a part; parts of one level that are merged; buckets of larger key parts.
 SMALL, FAN, BUCKETS = 20_000, 8, 64
-TABLES = ("events", "keys", "file_state", "charges", "subscriptions", "staging")
+TABLES = ("events", "keys", "totals", "file_state", "charges", "subscriptions", "staging")
 
 
 def synthesize_external_id(source: Column, day: Column, amount: Column, description: Column) -> Column:
@@ -61,6 +61,13 @@ def event_key() -> Column:
     return F.coalesce(request, F.concat(F.lit("h:"), "content_hash"))
 
 
+def daily_totals(rows: DataFrame) -> DataFrame:
+    """Events, or totals of them, as totals per source, day, model and project."""
+    one = F.col("events_count") if "events_count" in rows.columns else F.lit(1)
+    day = F.date_trunc("day", "occurred_at").alias("occurred_at")
+    return rows.groupBy("source", day, "model", "project_id").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS], F.sum(one).cast("bigint").alias("events_count"))
+
+
 def ledger_key() -> Column:
     """The key of an event in the whole ledger: its source and :func:`event_key`. The source's length stands before it, so
     no two pairs give one key."""
@@ -210,9 +217,15 @@ class Store:
         parts = self._write("events", typed, by=("event_date",))
         inserted = sum(p.rows for p in parts)
         keys = self._load("events", parts, EVENTS).select("source", ledger_key().alias("key")).where("key is not null")
-        self._change([], [*parts, *(self._write_keys(keys, inserted) if inserted else [])])
+        totals = self._write("totals", daily_totals(self._load("events", parts, EVENTS)))
+        self._change([], [*parts, *totals, *(self._write_keys(keys, inserted) if inserted else [])])
         return inserted
 
+    def totals(self) -> DataFrame:
+        """:func:`daily_totals` of all events. Each insert has added the totals of its own rows, whatever their days, so this
+        reads what has changed and never the events; weeks and months are sums of days."""
+        return daily_totals(self._read("totals", TOTALS))
+
     def append_events(self, rows: DataFrame, stream: str, batch: int) -> int:
         """Add a stream's batch of events that are known to be new. A batch that has been added before is left out."""
 
@@ -228,6 +241,7 @@ class Store:
     def delete_events(self, source: str) -> int:
         def delete() -> int:
             self._drop("keys", source)
+            self._drop("totals", source)
             return self._drop("events", source)
 
         return self._alone(delete)
@@ -355,6 +369,8 @@ class Store:
             return self._write_keys(self._load(table, parts, "source string, key string"), n, level)
         if table == "events":
             return self._write(table, self._load(table, parts, EVENTS), level, ("event_date",))
+        if table == "totals":
+            return self._write(table, daily_totals(self._load(table, parts, TOTALS)), level)
         if table == "file_state":
             return self._write(table, self._latest_states(self._load(table, parts, FILE_STATE)), level)
         if table == "charges":
