@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_io
+from . import catalog_io, catalog_tables
 from .functions import buckets, maths, text
 from .operators import asof, billing, chart, cost, impact, usage
 from .plans import daily_report
@@ -472,12 +472,6 @@ CALENDAR = f"""calendar AS (SELECT CAST(unnest(generate_series(date_trunc('week'
 days AS (SELECT bucket, greatest(date_diff('day', greatest(bucket, DATE '{START}'), CAST(least(bucket + 7, DATE '{END}' + 1) AS DATE)), 1) AS active FROM calendar)"""
 
 
-@_register("calendar_weeks", f"WITH {CALENDAR} SELECT bucket, CAST(active AS INT) AS active_days FROM days")
-def _(t):
-    found = buckets.enumerate_buckets(t.spark, START, END, "week")
-    return found.withColumn("active_days", buckets.active_days(F.col("bucket"), "week", START, END))
-
-
 @_register("stack_by_model", f"""{CTES} {_cells('week')}, {CALENDAR}
 SELECT d.bucket, {", ".join(f"round(coalesce(sum({TOTAL}) FILTER (WHERE model = '{m}'), 0) / max(active), 6) AS {m.replace('-', '_')}" for m in MODELS)}
 FROM days d LEFT JOIN cells c ON CAST(c.bucket AS DATE) = d.bucket GROUP BY 1""")
@@ -540,8 +534,12 @@ def _(t):
 
 
 def _work_folder(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meterlight-")
+    """A folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one where the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="meterlight-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -605,6 +603,7 @@ def _(t):
 
 
 catalog_io.register(_register, _work_folder, CTES, SUMS)
+catalog_tables.register(_register, _work_folder, CTES, SUMS, _ORACLES, (START, END), _figures)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

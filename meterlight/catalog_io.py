@@ -1,32 +1,19 @@
-"""Registered queries of ingest, ledgers, files and parameters. :mod:`meterlight.catalog` imports them."""
+"""Registered queries of ingest, ledgers, dates and numbers. :mod:`meterlight.catalog` imports them."""
 
 from __future__ import annotations
 
-import datetime as dt
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import config
-from .functions import buckets, maths, selection, text
-from .operators import billing, chart, impact, usage
+from .functions import buckets, maths, text
+from .operators import billing, impact, usage
 from .schemas import TOKEN_COLUMNS
-from .sources import billing_csv, dims, session_logs, store
+from .sources import billing_csv, session_logs, store
 from .sources.adapter import EVENTS_SQL, Tables
 from .streaming import ingest
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    """The rows as SQL."""
-
-    def shown(v) -> str:
-        if isinstance(v, dt.date):
-            return f"DATE '{v}'"
-        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v!r}e0" if isinstance(v, float) else repr(v)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({columns})"
-
-
 def register(_register, _work_folder, CTES: str, SUMS: str) -> None:
     """Add the queries by ``_register``."""
 
@@ -151,23 +138,22 @@ SELECT max(scanned_at) AS last_scanned_at, CAST((SELECT mtime_ns FROM s WHERE fi
     # Billing files and ledgers
 
     def csv_file(t: Tables) -> str:
-        """orders as a billing export: days without leading zeros, euros, brackets for refunds, a header twice."""
-        rows = t.charges.withColumn("n", F.row_number().over(_by_id()))
+        """orders as a billing export of several files: days without leading zeros, euros, brackets for refunds, headers with a
+        name twice."""
         amount = F.abs("amount_usd")
         shown = F.when(F.col("amount_usd") < 0, F.concat(F.lit("($"), F.format_number(amount, 2), F.lit(")"))).otherwise(F.concat(F.lit("$"), F.format_number(amount, 2)))
         day = F.date_format("occurred_at", "yyyy-M-d")
         day = F.when(F.col("id") % 3 == 0, F.date_format("occurred_at", "MMM d, yyyy")).when(F.col("id") % 3 == 1, F.concat(day, F.lit("T10:00"))).otherwise(day)
         cells = [F.coalesce("external_id", F.lit("")), day, shown, F.lit("0"), F.when(F.col("id") % 4 == 0, "EUR").when(F.col("id") % 4 == 1, "usd").otherwise(""), F.coalesce("description", F.lit(""))]
         line = F.concat_ws(",", *[F.concat(F.lit('"'), c, F.lit('"')) for c in cells])
-        head = t.spark.createDataFrame([(0, '"ID","Date","Amount","Amount","Currency","Description"')], "n int, value string")
-        folder = _work_folder(t.spark, "csv")
-        head.unionByName(rows.select("n", line.alias("value"))).coalesce(1).sortWithinPartitions("n").select("value").write.text(folder)
-        return folder
 
-    def _by_id():
-        from pyspark.sql import Window
+        def with_header(parts):
+            yield pd.DataFrame({"value": ['"ID","Date","Amount","Amount","Currency","Description"']})
+            yield from parts
 
-        return Window.orderBy("id")  # a billing export is a single file
+        folder = _work_folder(t.spark, "csv")
+        t.charges.select(line.alias("value")).repartition(4).mapInPandas(with_header, "value string").write.text(folder)
+        return folder
 
     USD = f"{CTES} x AS (SELECT 1) SELECT %s FROM charges WHERE id % 4 <> 0"
 
@@ -180,19 +166,6 @@ SELECT max(scanned_at) AS last_scanned_at, CAST((SELECT mtime_ns FROM s WHERE fi
     def _(t):
         return billing_csv.preview(t.spark, csv_file(t), t.subscriptions)["totals"].withColumn("total_usd", F.round("total_usd", 2))
 
-    cells_ = ["2024-01-05", "2024-1-5", "1/5/2024", "13/2/2024", "Jan 5, 2024", "January 5 2024", "2024-01-05 10:00", "2024-01-05T10:00:00Z", "soon", ""]
-    days_ = [dt.date(2024, 1, 5)] * 3 + [dt.date(2024, 2, 13)] + [dt.date(2024, 1, 5)] * 4 + [None] * 2
-
-    @_register("csv_dates", _values(list(zip(cells_, days_, strict=True)), "cell, day"))
-    def _(t):
-        return t.spark.createDataFrame([(c,) for c in cells_], "cell string").withColumn("day", billing_csv.parse_date(F.col("cell")))
-
-    amounts_ = [("12.50", 12.5), ("$1,234.00", 1234.0), ("(5)", -5.0), ("($2.5)", -2.5), ("12d", None), ("12f", None), ("1e2", 100.0), ("", None), ("-3", -3.0), (".5", 0.5)]
-
-    @_register("csv_amounts", _values([(c, v) for c, v in amounts_], "cell, amount"))
-    def _(t):
-        return t.spark.createDataFrame([(c,) for c, _ in amounts_], "cell string").withColumn("amount", billing_csv.parse_amount(F.col("cell")))
-
     bits = "CAST(CAST(amount_usd AS BIT) AS VARCHAR)"
     little = "list_reduce(list_transform(range(7, -1, -1), lambda i: printf('%02X', list_reduce(list_transform(range(8), lambda j: CAST(ascii(substr(b, CAST(i * 8 + j + 1 AS BIGINT), 1)) - 48 AS INTEGER)), lambda p, q: p * 2 + q))), lambda p, q: p || q)"
 
@@ -210,119 +183,8 @@ SELECT n AS inserted, m - n AS skipped, CAST(1 AS BIGINT) AS subscriptions_delet
         row = (n["inserted"], n["skipped"], n["subscriptions_deleted"], ledger.delete_charges("orders"), ledger.subscriptions().count())
         return t.spark.createDataFrame([row], "inserted bigint, skipped bigint, subscriptions_deleted bigint, charges_deleted bigint, subscriptions_left bigint")
 
-    edited = [(1, "Pro", 25.0, dt.date(2024, 1, 1), dt.date(2024, 6, 30)), (3, "Team", 60.0, dt.date(2024, 3, 1), None)]
-
-    @_register("subscription_edits", _values(edited, "id, plan_name, monthly_usd, started_at, ended_at"))
-    def _(t):
-        ledger = store.Store(t.spark, _work_folder(t.spark, "store"))
-        for name, price, start in (("Pro", 20.0, "2024-01-01"), ("Max", 100.0, "2024-02-01"), (" Team ", 60.0, "2024-03-01")):
-            ledger.insert_subscription(*billing.validate_subscription(name, price, start, ""))
-        ledger.update_subscription(1, *billing.validate_subscription("Pro", 25.0, "2024-01-01", "2024-06-30"))
-        ledger.delete_subscription(2)
-        assert not ledger.update_subscription(9, "x", 1.0, dt.date(2024, 1, 1)) and not ledger.delete_subscription(2)
-        return ledger.subscriptions()
-
-    refused = [(" ", 1.0, "2024-01-01", "", False), ("a", -1.0, "2024-01-01", "", False), ("a", float("inf"), "2024-01-01", "", False), ("a", 1.0, "1/1/2024", "", False), ("a", 1.0, "2024-02-01", "2024-01-01", False), ("a", 0.0, "2024-01-01", "2024-01-01", True)]
-
-    @_register("subscription_validation", _values([(i, r[4]) for i, r in enumerate(refused)], "row, accepted"))
-    def _(t):
-        def accepted(name, price, start, end):
-            try:
-                billing.validate_subscription(name, price, start, end)
-            except ValueError:
-                return False
-            return True
-
-        return t.spark.createDataFrame([(i, accepted(*r[:4])) for i, r in enumerate(refused)], "row int, accepted boolean")
-
-    # Files of prices and factors, configuration
-
-    PRICES = """schema_version = 1
-[providers.anthropic.models.model-b]
-display_name = "B"
-input_usd_per_mtok = 3
-output_usd_per_mtok = 15.0
-cache_read_usd_per_mtok = null  # unknown
-notes = "x = null"
-source_accessed_at = 2024-02-01
-[providers.anthropic.models.model-a]
-input_usd_per_mtok = 1.0
-source_accessed_at = 2024-01-01
-"""
-    FACTORS = """schema_version = 1
-file_status = "placeholder"
-[defaults]
-fallback_pue = 1.2
-[providers.anthropic.models.model-a]
-wh_per_mtok_input = 5
-valid_from = 2024-01-01
-[providers.anthropic.models.model-b]
-wh_per_mtok_input = null
-[grid.us-east-1]
-co2e_kg_per_kwh = 0.3
-valid_from = 2024-01-03
-[grid.eu-west-1]
-co2e_kg_per_kwh = 0.2
-source_accessed_at = 2024-05-01
-"""
-
-    @_register("price_file", _values([("anthropic", "model-a", None, 1.0, None, None, dt.date(2024, 2, 1), False), ("anthropic", "model-b", "B", 3.0, 15.0, "x = null", dt.date(2024, 2, 1), False)],
-                                     "provider, model, display_name, input_usd_per_mtok, output_usd_per_mtok, notes, most_recent, needs_review"))
-    def _(t):
-        file = dims.PricingFile(PRICES)
-        found = file.frame(t.spark).select("provider", "model", "display_name", "input_usd_per_mtok", "output_usd_per_mtok", "notes")
-        return found.withColumns({"most_recent": F.lit(file.most_recent_accessed_at()), "needs_review": F.lit(file.needs_review)})
-
-    snapshot = [("model", "model-a", None, 5.0, dt.date(2024, 1, 1), None), ("model", "model-b", None, None, dt.date(1970, 1, 1), None),
-                ("grid", None, "eu-west-1", None, dt.date(1970, 1, 1), dt.date(2024, 5, 1)), ("grid", None, "us-east-1", None, dt.date(2024, 1, 3), dt.date(2024, 1, 3))]
-    shown = "kind, model, region, wh_per_mtok_input, valid_from, source_accessed_at"
-
-    @_register("factor_snapshot", _values(snapshot, shown))
-    def _(t):
-        return dims.FactorsFile(FACTORS).snapshot(t.spark).select(*shown.split(", "))
-
-    @_register("visible_factors", _values([snapshot[0], snapshot[3]], shown))
-    def _(t):
-        models = t.spark.createDataFrame([("model-a",), ("model-x",)], "model string")
-        return dims.visible_factors(dims.FactorsFile(FACTORS).snapshot(t.spark), models, "us-east-1").select(*shown.split(", "))
-
-    @_register("factor_sync", _values([(2, 2, 1, dt.date(2024, 5, 1), 1.2, True, 2, 2)], "models, regions, all_null_models, grid_date, fallback_pue, placeholder, stored_models, stored_regions"))
-    def _(t):
-        file, folder = dims.FactorsFile(FACTORS), _work_folder(t.spark, "factors")
-        for _ in range(2):
-            n = dims.sync_environmental_factors(file, t.spark, folder)
-        stored = [t.spark.read.parquet(f"{folder}/{name}").count() for name in ("env_factors", "grid_factors")]
-        row = (n["models"], n["regions"], n["all_null_models"], file.most_recent_grid_accessed_at(), file.fallbacks()[0], file.is_placeholder, *stored)
-        return t.spark.createDataFrame([row], "models int, regions int, all_null_models int, grid_date date, fallback_pue double, placeholder boolean, stored_models int, stored_regions int")
-
-    @_register("config_defaults", _values([("empty", "/p", "us-east-1", 60), ("one", "/one", "eu-west-1", 60), ("many", "/a,/b", "us-east-1", 0)], "name, roots, region, scan_interval_seconds"))
-    def _(t):
-        default = config.expand(config.DEFAULT_ROOT)
-        given = {"empty": {"ingest": {"claude_code_roots": []}}, "one": {"ingest": {"claude_code_root": "/one"}, "inference": {"default_inference_region": "eu-west-1"}},
-                 "many": {"ingest": {"claude_code_roots": ["/a", "/b"], "claude_code_root": "/one", "scan_interval_seconds": 0}}}
-        found = []
-        for name, values in given.items():
-            c = config._fill(config.Config(), values, "")
-            found.append((name, ",".join("/p" if r == default else r for r in c.roots), c.region, c.ingest.scan_interval_seconds))
-        return t.spark.createDataFrame(found, "name string, roots string, region string, scan_interval_seconds int")
-
     # Parameters, dates, text
 
-    presets = [("7d", 7), ("30d", 30), ("90d", 90), ("365d", 365)]
-
-    @_register("windows", f"""WITH n AS (SELECT n_nationkey AS k, CAST(DATE '2024-01-01' + CAST(n_nationkey AS INT) AS DATE) AS today FROM nation)
-SELECT CAST(k AS BIGINT) AS k, preset, CAST(today - CAST(days AS INT) AS DATE) AS from_day, today AS to_day, CASE WHEN days <= 120 THEN 'day' WHEN days <= 730 THEN 'week' ELSE 'month' END AS granularity
-FROM n, ({_values(presets, 'preset, days')}) UNION ALL
-SELECT k, 'default', CAST(today - 30 AS DATE), today, 'day' FROM n UNION ALL
-SELECT k, 'all', DATE '2022-12-01', today, CASE WHEN today - DATE '2022-12-01' <= 730 THEN 'week' ELSE 'month' END FROM n""")
-    def _(t):
-        found = []
-        for row in t.spark.read.parquet(f"{t.sf_dir}/nation.parquet").select("n_nationkey").collect():  # 25 rows
-            today = dt.date(2024, 1, 1) + dt.timedelta(days=row.n_nationkey)
-            windows = [(p, buckets.preset_window(p, today)) for p in (*dict(presets), "all")] + [("default", buckets.resolve_window(None, "", today))]
-            found += [(row.n_nationkey, name, *w, buckets.auto_granularity((w[1] - w[0]).days)) for name, w in windows]
-        return t.spark.createDataFrame(found, "k bigint, preset string, from_day date, to_day date, granularity string")
-
     @_register("event_times", """SELECT event_id, greatest(date_diff('day', CAST(ts AS DATE), DATE '2024-01-20'), 0) AS days,
   strftime(ts, '%b ') || CAST(day(ts) AS VARCHAR) AS day_label, strftime(ts, '%b %Y') AS month_label,
   CASE WHEN event_id % 50 = 0 THEN 'never' WHEN s < 1 THEN 'just now' WHEN s < 60 THEN CAST(s AS VARCHAR) || 's ago' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm ago'
@@ -346,36 +208,6 @@ FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c, CAST(o_
         price = F.col("o_totalprice")
         return rows.select("o_orderkey", text.exact_dollars(price).alias("exact"), text.rounded_dollars(price).alias("rounded"), text.compact_number(k.cast("bigint")).alias("compact"))
 
-    units = [(2.5e6, "2.50 MWh", "2.50 t CO₂e", "2500.00 kL"), (1500.0, "1.50 kWh", "1.50 kg CO₂e", "1.50 kL"), (2.0, "2.00 Wh", "2.00 g CO₂e", "2.00 L"), (0.25, "250.00 mWh", "250.00 mg CO₂e", "250.00 mL")]
-
-    @_register("unit_texts", _values([r for r in units], "v, energy, carbon, water"))
-    def _(t):
-        rows = t.spark.createDataFrame([(r[0],) for r in units], "v double")
-        return rows.select("v", *[text.scaled(F.col("v"), u).alias(n) for n, u in (("energy", text.ENERGY_UNITS), ("carbon", text.CARBON_UNITS), ("water", text.WATER_UNITS))])
-
-    named = [("input_tokens", "Input"), ("cache_write_1h_tokens", "Cache write 1h"), ("other", "other")]
-
-    @_register("token_names", _values(named, "token_type, name"))
-    def _(t):
-        return t.spark.createDataFrame([(n,) for n, _ in named], "token_type string").withColumn("name", text.token_type_name(F.col("token_type")))
-
-    said = [("models", None, 5, "all 5 models"), ("models", 2, 5, "2 of 5 models"), ("projects", 0, 0, "no projects")]
-    parameters = [(None, "all"), ("", "all"), ("all", "all"), ("__none__", "none"), ("a,b", "a,b"), (",", "all")]
-
-    @_register("selection_texts", _values([(f"{a}/{b}/{n}", s) for a, b, n, s in said] + [(f"projects={p}", s) for p, s in parameters] + [(f"limit={k}", s) for k, s in (("None", "25"), ("7", "7"), ("9999", "500"), ("0", "error"))]
-                                          + [("ready production", "true"), ("ready placeholder", "false"), ("ready draft", "false")], "given, said"))
-    def _(t):
-        rows = [(f"{a}/{b}/{n}", selection.selection_summary(a, None if b is None else {str(k) for k in range(b)}, n)) for a, b, n, _ in said]
-        encoded = lambda p: {None: "all", "__none__": "none"}.get(e := usage.encode_projects(usage.parse_projects(p)), e)
-        rows += [(f"projects={p}", encoded(p)) for p, _ in parameters]
-        for limit in (None, 7, 9999, 0):
-            try:
-                rows.append((f"limit={limit}", str(usage.clamp_sessions(limit))))
-            except ValueError:
-                rows.append((f"limit={limit}", "error"))
-        rows += [(f"ready {s}", str(impact.environment_ready(s, s == "placeholder")).lower()) for s in ("production", "placeholder", "draft")]
-        return t.spark.createDataFrame(rows, "given string, said string")
-
     total = " + ".join(TOKEN_COLUMNS)
 
     @_register("sessions_at_most", f"""SELECT session_id, project_id, min(occurred_at) AS started_at, max(occurred_at) AS ended_at, count(*) AS events_count, CAST(sum({total}) AS BIGINT) AS total_tokens
@@ -405,9 +237,3 @@ SELECT event_id, round((input_tokens * 64e0 + output_tokens * 128e0) / 1e6 * coa
         })
         found = impact.compute_impact(rows, fallback_pue=1.25)
         return found.select("event_id", F.round(F.col("co2e_g") * 1024, 4).alias("co2e"), "pue_used", "wue_used", "used_fallback_pue", "used_fallback_wue", "co2e_uncertainty_pct")
-
-    palette = [("a-opus-1", 0, "opus", 0), ("a-haiku-1", 1, "haiku", 0), ("a-opus-2", 2, "opus", 1), ("z", 3, "other", 0)]
-
-    @_register("palette", _values(palette, '"model", "position", family, "index"'))
-    def _(t):
-        return chart.palette_index(t.spark.createDataFrame([p[:2] for p in palette], "model string, position int")).select("model", "position", "family", "index")

@@ -63,6 +63,18 @@ def auto_granularity(days: int) -> str:
     return "day" if days <= 120 else "week" if days <= 730 else "month"
 
 
+def window_start(today: Column, preset: str | None = None) -> Column:
+    """The first day of a preset's window (or of the default window) that ends ``today``."""
+    if preset == "all":
+        return F.lit(ALL_FROM)
+    return F.date_sub(today, RANGE_DAYS[preset] if preset else DEFAULT_WINDOW_DAYS)
+
+
+def granularity_for(days: Column) -> Column:
+    """:func:`auto_granularity` of a column."""
+    return F.when(days <= 120, "day").when(days <= 730, "week").otherwise("month")
+
+
 def days_between(start: Column, end: Column) -> Column:
     """Days from start to end, not below 0; 0 where either is null."""
     return F.greatest(F.coalesce(F.datediff(end, start), F.lit(0)), F.lit(0))

@@ -85,11 +85,13 @@ def read_charges(spark: SparkSession, path: str, source: str = "stripe_csv", che
 
 
 def preview(spark: SparkSession, path: str, subscriptions: DataFrame) -> dict:
-    """Charges, their total, how many rows were left out for their currency, and conflicting subscriptions."""
+    """Charges, their total, how many rows were left out for their currency, and conflicting subscriptions. ``path`` is a file,
+    or a folder of files that each have the same header."""
     from ..operators.billing import subscription_conflicts
 
     charges = read_charges(spark, path)
-    lines = spark.read.text(path).where(F.trim("value") != "").agg(F.count(F.lit(1)).alias("lines"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    lines = text.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("headers"))
     totals = charges.agg(F.coalesce(F.sum("amount_usd"), F.lit(0.0)).alias("total_usd"), F.count(F.lit(1)).alias("n_charges"))
-    skipped = lines.join(F.broadcast(totals)).select("total_usd", "n_charges", F.greatest(F.col("lines") - 1 - F.col("n_charges"), F.lit(0)).alias("skipped_non_usd_count"))
+    skipped = lines.join(F.broadcast(totals)).select("total_usd", "n_charges", F.greatest(F.col("lines") - F.col("headers") - F.col("n_charges"), F.lit(0)).alias("skipped_non_usd_count"))
     return {"charges": charges, "totals": skipped, "conflicts": subscription_conflicts(charges, subscriptions)}

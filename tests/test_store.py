@@ -272,3 +272,25 @@ def test_refused_files_are_left_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "readable", lambda _, paths: [p for p in paths if p.endswith("a.jsonl")])
     counts = ingest.scan(spark, Store(spark, f"file://{tmp_path}/store"), [str(tmp_path / "logs")])
     assert (counts["files_seen"], counts["files_parsed"], counts["files_unchanged"]) == (2, 1, 1)
+
+
+# Daily totals
+
+
+def test_late_rows_change_only_their_days(spark, ledger):
+    on = lambda *days: [p.rows for p in ledger.version().of("totals")] and sorted(r.occurred_at.day for r in ledger._load("totals", ledger.version().of("totals")[-1:], store.TOTALS).collect()) == sorted(days)
+    ledger.insert_events(events(spark, 0, 100), ["occurred_at"])
+    assert on(14, 15, 16, 17, 18)
+    ledger.insert_events(events(spark, 100, 130).where(F.col("occurred_at") < "2023-11-16"), ["occurred_at"])
+    assert on(14, 15)
+    rows = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    assert rows(ledger.totals()) == rows(store.daily_totals(ledger.events()))
+    assert {r.occurred_at.day: r.events_count for r in ledger.totals().collect()} == {14: 26, 15: 26, 16: 20, 17: 20, 18: 20}
+    before = rows(ledger.totals())
+    assert ledger.compact(fan=2) > 0
+    assert len(ledger.version().of("totals")) == 1
+    assert rows(ledger.totals()) == before
+    ledger.insert_events(events(spark, 0, 5, source="b"), ["occurred_at"])
+    ledger.delete_events("api")
+    assert rows(ledger.totals()) == rows(store.daily_totals(ledger.events()))
+    assert ledger.totals().agg(F.sum("events_count")).first()[0] == 5
