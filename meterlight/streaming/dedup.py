@@ -9,8 +9,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -51,15 +50,18 @@ class KeepFirst(StatefulProcessor):
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.seen.update((True,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0].startswith("-"):
-            for part in rows:
-                yield part.drop(columns="_key", errors="ignore")
+            yield from map(self._shown, rows)
         elif not self.seen.exists():
-            firsts = [part.sort_values(self.order, kind="stable").head(1) for part in rows if len(part)]
-            if firsts:
-                self.seen.update((True,))
-                yield pd.concat(firsts).sort_values(self.order, kind="stable").head(1).drop(columns="_key", errors="ignore")
+            # nulls first, as when the store orders rows
+            best = min(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order])
+            self.seen.update((True,))
+            yield self._shown(best)
+
+    @staticmethod
+    def _shown(row: Row) -> Row:
+        return Row(**{f.name: row[f.name] for f in EVENTS})
 
     def close(self) -> None:
         pass
@@ -72,7 +74,7 @@ def once_by_key(events: DataFrame, order: list[str], known: DataFrame | None = N
     keyless = F.concat(F.lit("-"), F.pmod(F.xxhash64(*typed.columns), F.lit(KEYLESS)).cast("string"))
     keyed = typed.withColumn("_key", F.coalesce(ledger_key(), keyless))
     start = None if known is None else known.select("_key").groupBy("_key")
-    return keyed.groupBy("_key").transformWithStateInPandas(
+    return keyed.groupBy("_key").transformWithState(
         statefulProcessor=KeepFirst(order, ttl_ms), outputStructType=EVENTS, outputMode="append", timeMode="none" if ttl_ms is None else "processingTime", initialState=start
     )
 
