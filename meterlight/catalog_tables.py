@@ -64,6 +64,11 @@ def register(_register, _work_folder, CTES: str, SUMS: str, oracles: dict[str, s
         found = impact.aggregate_impact_by_bucket(filled(t).totals(), t.sources, t.factors, t.grids, START, END, granularity="week", region="us-east-1", fallback_pue=1.15, fallback_wue=0.15)
         return _figures(found)
 
+    @_register("recent_sessions_of_ledger", oracles["recent_sessions"])
+    def _(t):
+        ledger = filled(t)
+        return usage.recent_sessions_by_day(ledger.events(), ledger.totals())
+
     @_register("stream_once_by_state", oracles["stream_once_by_key"])
     def _(t):
         """Every event twice in the stream, and once more after a restart; the keys are kept as state."""

@@ -7,6 +7,8 @@ taken from the store's daily totals, which have a column events_count, instead o
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,14 +120,41 @@ def usage_by_model(events, sources, start, end, provider: str = ALL) -> DataFram
     return found.orderBy(F.desc(total_tokens()), "model")
 
 
-def recent_sessions(events: DataFrame, limit: int | None = None) -> DataFrame:
-    """The sessions (by session and project) that ended last; ties go by session, then project."""
-    rows = events.where(F.col("session_id").isNotNull()).groupBy("session_id", "project_id")
-    found = rows.agg(
+def _sessions(events: DataFrame) -> DataFrame:
+    return events.where(F.col("session_id").isNotNull()).groupBy("session_id", "project_id").agg(
         F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("ended_at"),
         F.count(F.lit(1)).alias("events_count"), F.sum(total_tokens()).alias("total_tokens"),
     )
-    return found.orderBy(F.desc("ended_at"), "session_id", F.asc_nulls_first("project_id")).limit(clamp_sessions(limit))
+
+
+def _last_ended(sessions: DataFrame, limit: int) -> DataFrame:
+    return sessions.orderBy(F.desc("ended_at"), "session_id", F.asc_nulls_first("project_id")).limit(limit)
+
+
+def recent_sessions(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """The sessions (by session and project) that ended last; ties go by session, then project."""
+    return _last_ended(_sessions(events), clamp_sessions(limit))
+
+
+def recent_sessions_by_day(events: DataFrame, days: DataFrame, limit: int | None = None) -> DataFrame:
+    """:func:`recent_sessions` of a ledger that is partitioned by event_date; ``days`` (occurred_at) are those with events.
+
+    The latest days are read, twice as many each time, until they hold as many sessions as wanted: no other session ended later.
+    Only the sessions found, of which there are SESSIONS_MAX at most, are then summed up over all days, without a shuffle of others."""
+    wanted, keys = clamp_sessions(limit), ["session_id", "project_id"]
+    first, last = days.agg(F.to_date(F.min("occurred_at")), F.to_date(F.max("occurred_at"))).first()
+    rows, span = events.where(F.col("session_id").isNotNull()), 1
+    if last is None:
+        return recent_sessions(events, limit)
+    while True:
+        latest = rows.where(F.col("event_date") >= F.lit(last - dt.timedelta(days=span - 1)))
+        if (last - first).days < span or latest.select(*keys).distinct().limit(wanted).count() >= wanted:
+            break
+        span *= 2
+    ended = latest.groupBy(*keys).agg(F.max("occurred_at").alias("ended_at"))
+    chosen = F.broadcast(_last_ended(ended, wanted).select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    same = (F.col("session_id") == F.col("_session_id")) & F.col("project_id").eqNullSafe(F.col("_project_id"))
+    return _last_ended(_sessions(rows.join(chosen, same, "left_semi")), wanted)
 
 
 def count_events(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from meterlight.operators import usage
 from meterlight.schemas import EVENTS
 from meterlight.sources import session_logs, store
 from meterlight.sources.manifest import Conflict
@@ -294,3 +295,18 @@ def test_late_rows_change_only_their_days(spark, ledger):
     ledger.delete_events("api")
     assert rows(ledger.totals()) == rows(store.daily_totals(ledger.events()))
     assert ledger.totals().agg(F.sum("events_count")).first()[0] == 5
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 500])
+def test_recent_sessions_read_the_latest_days(spark, ledger, limit):
+    made = events(spark, 0, 600).withColumns({
+        "occurred_at": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("occurred_at").cast("long") % 7 + F.substring("request_id", 2, 9).cast("long") * 20_000),
+        "session_id": F.when(F.col("request_id") != "r599", F.concat(F.lit("s"), (F.substring("request_id", 2, 9).cast("int") % 150).cast("string"))),
+        "project_id": F.when(F.col("request_id") > "r3", F.lit("p")),
+    })
+    ledger.insert_events(made, ["occurred_at"])
+    found = usage.recent_sessions_by_day(ledger.events(), ledger.totals(), limit)
+    assert found.collect() == usage.recent_sessions(ledger.events(), limit).collect()
+    if limit == 1:
+        assert "PartitionFilters: [isnotnull(event_date" in plan(found)
+    assert usage.recent_sessions_by_day(ledger.events().limit(0), ledger.totals().limit(0)).count() == 0
