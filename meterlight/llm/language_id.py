@@ -268,7 +268,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     ).where("lang is not null and text is not null")
     # Of a few times as many texts as are wanted, chosen by hash, those of the least hashes: no task meets a language.
     hashed = rows.withColumn("h", F.xxhash64("key", "text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as the model has languages
+    # Different texts are counted, not rows: else a language of few texts that repeat often would get none of them.
+    counted = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}  # as many as the model has languages
     if not sizes:
         return {"languages": []}
     wanted = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, MARGIN * (sample + MARGIN) / n))])

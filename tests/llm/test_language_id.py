@@ -94,3 +94,12 @@ def test_nothing_to_learn_from(spark, docs):
     nothing = lid.fit(empty)
     assert {r.lang_pred for r in lid.predict(docs, nothing).collect()} == {"und"}
     assert lid.predict(empty, nothing).count() == 0
+
+
+def test_a_language_whose_rows_repeat_is_learned(spark, docs):
+    """Few texts of a language, each in thousands of rows."""
+    few = spark.createDataFrame([(k, "kota mała piesek domek " * k, "pl") for k in (1, 2, 3)], "doc_id bigint, text string, lang string")
+    repeated = few.crossJoin(spark.range(8_000)).drop("id").unionByName(docs.select("doc_id", "text", "lang"))
+    once = few.unionByName(docs.select("doc_id", "text", "lang"))
+    assert "pl" in lid.fit(repeated, sample=20)["languages"]
+    assert lid.fit(repeated, sample=20)["languages"] == lid.fit(once, sample=20)["languages"]
