@@ -34,7 +34,7 @@ from .common import discard, materialize, table
 #: Results of an item.
 BEST = 50
 #: Postings of a segment; postings of a term that its first tiers hold in a segment (the last tier has the rest).
-SEGMENT, TIERS = 1 << 21, (32, 512)
+SEGMENT, TIERS = 1 << 20, (32, 512)
 #: Pairs of item and term that are searched for at a time.
 BLOCK = 500_000
 #: A tier is probed where it is so many times longer than the list of documents in question.
