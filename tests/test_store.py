@@ -110,7 +110,7 @@ def test_a_crash_leaves_the_old_state(spark, ledger, monkeypatch):
     # the index did not take up keys of events that never counted
     assert ledger.insert_events(events(spark, 5, 12), ["occurred_at"]) == {"inserted": 2, "skipped_duplicate": 5}
     assert ledger.vacuum(grace_seconds=3600) == 0  # another writer may still be at work on what no version lists
-    assert ledger.vacuum(keep=1, grace_seconds=-60) == 2  # events and keys of the crash
+    assert ledger.vacuum(keep=1, grace_seconds=-60) == 3  # events, keys and totals of the crash
     assert ledger.events().count() == 12
 
 
@@ -173,22 +173,22 @@ def test_commits_at_once(spark, ledger):
 
 def test_many_writes_leave_few_parts(spark, ledger):
     at = dt.datetime(2026, 4, 20, tzinfo=dt.timezone.utc)
-    for k in range(20):
+    for k in range(12):
         rows = [("api", f"/p/{k % 4}", k, k, at + dt.timedelta(minutes=k)), ("api", "/q", k, 1, at + dt.timedelta(minutes=k))]
         ledger.upsert_file_state(spark.createDataFrame(rows, "source string, file_path string, mtime_ns bigint, len bigint, last_scanned_at timestamp"))
         ledger.insert_events(events(spark, 10 * k, 10 * k + 15, partitions=1), ["occurred_at"])
         ledger.compact(fan=3)
     for table in ("events", "keys", "file_state"):
         parts = ledger.version().of(table)
-        assert len(parts) <= 2 * 3  # fan - 1 on each of log3(20) levels
-    assert {r.file_path: r.mtime_ns for r in ledger.file_state().collect()} == {"/p/0": 16, "/p/1": 17, "/p/2": 18, "/p/3": 19, "/q": 19}
-    assert sum(p.rows for p in ledger.version().of("file_state")) < 40
-    assert ledger.events().select("request_id").distinct().count() == ledger.events().count() == 205
-    assert ledger.insert_events(events(spark, 0, 210), ["occurred_at"])["inserted"] == 5
+        assert len(parts) <= 2 * 3  # fan - 1 on each of log3(12) levels
+    assert {r.file_path: r.mtime_ns for r in ledger.file_state().collect()} == {"/p/0": 8, "/p/1": 9, "/p/2": 10, "/p/3": 11, "/q": 11}
+    assert sum(p.rows for p in ledger.version().of("file_state")) < 24
+    assert ledger.events().select("request_id").distinct().count() == ledger.events().count() == 125
+    assert ledger.insert_events(events(spark, 0, 130), ["occurred_at"])["inserted"] == 5
     ledger.vacuum(keep=1, grace_seconds=-60)
     folder = ledger.folder.removeprefix("file://")
     assert len(os.listdir(f"{folder}/events")) == len(ledger.version().of("events"))
-    assert ledger.events().count() == 210
+    assert ledger.events().count() == 130
 
 
 def test_subscriptions_are_merged(spark, ledger):
@@ -297,7 +297,7 @@ def test_late_rows_change_only_their_days(spark, ledger):
     assert ledger.totals().agg(F.sum("events_count")).first()[0] == 5
 
 
-@pytest.mark.parametrize("limit", [1, 7, 40, 500])
+@pytest.mark.parametrize("limit", [1, 40])
 def test_recent_sessions_read_the_latest_days(spark, ledger, limit):
     made = events(spark, 0, 600).withColumns({
         "occurred_at": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("occurred_at").cast("long") % 7 + F.substring("request_id", 2, 9).cast("long") * 20_000),
