@@ -7,13 +7,14 @@ made of ROWS minima of the hashed shingles, so a pair of similarity s is found w
 1 - (1 - s^ROWS)^BANDS at least: 0.997 at 0.8, 0.9999 at 0.85. Every candidate is then decided by the exact
 similarity of the whole texts' shingle sets.
 
-A bucket of more than ``bucket_limit`` sets is not paired off. All of it is compared with a few pivots; what is
-unlike them all goes on as a smaller bucket. By the triangle inequality of the Jaccard distance, a set linked
-with a pivot can only be near one that is not if their distances from the pivot differ by no more than
-1 - SIMILARITY; such pairs are compared unless they are in one class already. Sets that are still in a large
-bucket after ``rounds`` rounds are bucketed anew by their rarest shingles: of two sets of similarity s, each
-holds in its rarest n - s * n + 1 of n shingles one that is in the other's. Large buckets of these meet twice as
-many pivots in every round, until none is left. So no pair of a bucket is lost.
+A bucket of a few sets is paired off. All of a larger one is compared with a few pivots, and what is unlike them all
+with others, for ``rounds`` rounds. Then only buckets that still hold sets of different components matter, and in
+them only pairs of different components: buckets of up to ``bucket_limit`` sets are paired off so, the sets of larger
+ones are joined by their rarest shingles. With shingles in order of rarity, the first one that two similar sets have
+in common lies in the first n - t * n + 1 of the larger and the first n - 2t / (1 + t) * n + 1 of the smaller (n
+shingles, similarity t); what follows it must be enough for the overlap that the sizes ask for. Rows of one shingle
+are split by size, and those of one component are a single group until a group of another one fits. So no pair of a
+bucket is lost.
 
 Defined cases: texts are lower-cased and cut at white space; one of fewer than WORDS words is a single
 shingle, and texts without words are alike. Texts with the same shingles are one class without comparison.
@@ -37,9 +38,9 @@ from .components import connected_components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
 SEED = 42
-#: Sets of a bucket that are compared pair by pair; pivots of a larger one, on the average, and rounds of pivots before
-#: it is split by rare shingles.
-BUCKET_LIMIT, PIVOTS, ROUNDS = 128, 8, 2
+#: Sets of a bucket that are paired off at once; sets of a bucket of which pairs of different components are; pivots of a
+#: larger one, on the average, and rounds of pivots.
+PAIRED, BUCKET_LIMIT, PIVOTS, ROUNDS = 8, 128, 4, 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -119,20 +120,65 @@ def _crowded(members: DataFrame, least: int = 2) -> DataFrame:
     return materialize(label_rows(members.select("bucket", "node"), counts, "bucket", "n"), "buckets")
 
 
-def _rare(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """bucket (a shingle) and node: the rarest shingles of each set, of which two similar sets have one in common."""
-    rows = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("bucket"))
+def _ranked(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """shingle, node, root, size and place (from 1, by rarity): the rarest shingles of each set, of which two similar sets
+    have one in common. Written; only shingles of several roots are left."""
+    rows = sets.join(nodes, "node").select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     rows = materialize(rows, "shingles")
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "bucket"))
-    ranked = label_rows(rows, counts, "bucket", "n").withColumn("place", place)
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))
+    ranked = label_rows(rows, counts, "shingle", "n").withColumn("place", place)
     # Products of doubles may err in the last bits.
-    return ranked.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).select("bucket", "node")
-
-
-def _pairs(members: DataFrame) -> DataFrame:
-    """u, v: all pairs of each bucket, which has ``bucket_limit`` sets at most."""
-    return members.select("bucket", F.col("node").alias("u")).join(members.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v")
+    ranked = ranked.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
+    ranked = materialize(ranked.select("shingle", "node", "root", "size", "place"), "ranked")
+    discard(rows)
+    shared = ranked.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"))
+    kept = materialize(label_rows(ranked, shared.where("least < most").select("shingle", "n"), "shingle", "n").drop("n"), "ranked")
+    discard(ranked)
+    return kept
+
+
+def _pairs_by_rarity(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: pairs of ``nodes`` (node, root) of different roots that may be similar; none that is is left out. Written."""
+    written = _ranked(nodes, sets, similarity)
+    least = 2 * similarity / (1 + similarity)
+    # Sizes of similar sets are of one class or of two that follow each other; a class is a trifle wider than that takes.
+    ranked = written.withColumn("class", F.floor(F.log("size") / F.lit(-np.log(similarity) * (1 + 1e-6)))).withColumn("rest", F.col("size") - F.col("place"))
+    smaller = ranked.where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)
+    smaller = smaller.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
+    group = F.xxhash64("shingle", "class", "root")
+
+    def groups(rows, side):
+        found = rows.groupBy(F.xxhash64("shingle", "class").alias("key"), group.alias(f"{side}_group"), F.col("root").alias(f"{side}_root"))
+        ends = F.max("rest").alias(f"{side}_rest"), F.min("size").alias(f"{side}_least"), F.max("size").alias(f"{side}_most")
+        return materialize(found.agg(*ends), "groups")
+
+    left, right = groups(smaller, "u"), groups(ranked, "v")
+    # A key in common may be a collision, which only adds a candidate.
+    enough = 1 + F.least("u_rest", "v_rest") >= similarity / (1 + similarity) * (F.col("u_least") + F.col("v_least")) - 1e-9
+    sizes = (F.col("u_least") <= F.col("v_most")) & (F.col("u_most") >= similarity * F.col("v_least") - 1e-9)
+    met = join_spread(left, right, "key").where((F.col("u_root") != F.col("v_root")) & enough & sizes)
+    met = materialize(met.select("u_group", "v_group").distinct(), "met")
+    discard(left, right)
+
+    def side(rows, name):
+        return rows.select(group.alias(f"{name}_group"), F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("rest").alias(f"{name}_rest"))
+
+    found = join_spread(join_spread(met, side(smaller, "u"), "u_group"), side(ranked, "v"), "v_group", of=met)
+    enough = 1 + F.least("u_rest", "v_rest") >= similarity / (1 + similarity) * (F.col("u_size") + F.col("v_size")) - 1e-9
+    sizes = (F.col("u_size") <= F.col("v_size")) & (F.col("u_size") >= similarity * F.col("v_size") - 1e-9)
+    pairs = materialize(found.where(enough & sizes & F.expr("u <> v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    discard(met, written)
+    return pairs
+
+
+def _pairs(members: DataFrame, *keep: str) -> DataFrame:
+    """u, v: all pairs of each bucket, or those that differ in the columns ``keep``. For small buckets."""
+    left, right = (members.select("bucket", F.col("node").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in keep)) for c in "uv")
+    found = left.join(right, "bucket").where("u < v")
+    for k in keep:
+        found = found.where(F.col(f"u_{k}") != F.col(f"v_{k}"))
+    return found.select("u", "v")
 
 
 def links(
@@ -147,55 +193,50 @@ def links(
     """Edges u, v, and their components' roots (node, root): every pair of one bucket (members: bucket, node) and every
     pair of ``candidates`` (u, v) that is at least so similar is an edge or joined by a path of edges, and every edge is such a pair."""
     members = _crowded(members)
-    pairs = [] if candidates is None else [candidates.select("u", "v")]
-    near, crossing, turn = [], [], 0
-    while True:
-        pairs.append(_pairs(members.where(F.col("n") <= bucket_limit)))
-        large = members.where(F.col("n") > bucket_limit)
+    paired = min(PAIRED, bucket_limit)
+    pairs = [_pairs(members.where(F.col("n") <= paired))] + ([] if candidates is None else [candidates.select("u", "v")])
+    near = [_compared(reduce(DataFrame.unionByName, pairs), sets)]
+    crowded = members.where(F.col("n") > paired)
+
+    def similar(*compared):
+        return reduce(DataFrame.unionByName, compared).where(F.col("similarity") >= similarity).select("u", "v")
+
+    large = crowded
+    for turn in range(rounds):
         if large.isEmpty():
             break
-        if turn == rounds:
-            members = _crowded(_rare(large.select("node").distinct(), sets, similarity))
-            turn += 1
-            continue
-        # The number of pivots grows with the rounds by rare shingles, so that few rounds are left.
-        wanted = pivots << max(0, turn - rounds)
-        chosen = large.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) < wanted).select("bucket", F.col("node").alias("pivot"))
+        # The same nodes come first in every bucket, so that buckets of much the same sets have much the same pivots.
+        order = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 33) / F.lit(float(1 << 31))
+        chosen = large.where(order * F.col("n") < pivots).select("bucket", F.col("node").alias("pivot"))
         stars = materialize(join_spread(large.select("bucket", "node"), chosen, "bucket").where("node <> pivot"), "stars")
         compared = _compared(stars.select(F.col("pivot").alias("u"), F.col("node").alias("v")), sets)
         near.append(compared)
-        known = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "similarity")
-        # Distances from a pivot beyond twice 1 - similarity bridge nothing.
-        placed = stars.join(known.where(F.col("similarity") >= 2 * similarity - 1 - 1e-9), ["pivot", "node"])
-        placed = materialize(placed.select(F.lit(turn).alias("turn"), "bucket", "pivot", "node", "similarity"), "placed")
-        crossing.append(placed)
-        done = placed.where(F.col("similarity") >= similarity).select("bucket", "node").unionByName(chosen.select("bucket", F.col("pivot").alias("node")))
-        members = _crowded(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"))
-        turn += 1
-
-    def similar(*compared):
-        return reduce(DataFrame.unionByName, compared).where(F.col("similarity") >= similarity).select("u", "v")
-
-    near.append(_compared(reduce(DataFrame.unionByName, pairs), sets))
+        known = similar(compared).select(F.col("u").alias("pivot"), F.col("v").alias("node"))
+        done = stars.join(known, ["pivot", "node"]).select("bucket", "node").unionByName(chosen.select("bucket", F.col("pivot").alias("node")))
+        rest = _crowded(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"))
+        discard(stars)
+        large = rest
     roots = connected_components(similar(*near))
-    if not crossing:
+    if crowded.isEmpty():
         return similar(*near), roots
-    named = reduce(DataFrame.unionByName, crossing).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(named, "crossing")
-    inner = named.where(F.col("similarity") >= similarity)
-    outer = named.where(F.col("similarity") < similarity)
-    outer = outer.select("turn", "bucket", "pivot", F.col("node").alias("other"), F.col("similarity").alias("other_similarity"), F.col("root").alias("other_root"))
-    # 1 - similarity is the distance from the pivot; sums of doubles may err in the last bits.
-    reach = F.col("similarity") - F.col("other_similarity") <= 1 - similarity + 1e-9
-    found = inner.join(outer, ["turn", "bucket", "pivot"]).where((F.col("root") != F.col("other_root")) & reach)
-    more = _compared(found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")), sets)
+    named = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "members")
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"))
+    named = materialize(label_rows(named, mixed.where("least < most").select("bucket", "n"), "bucket", "n"), "mixed")
+    left = named.where(F.col("n") > bucket_limit).select("node", "root").distinct()
+    found = _pairs(named.where(F.col("n") <= bucket_limit), "root")
+    if not left.isEmpty():
+        found = found.unionByName(_pairs_by_rarity(left, sets, similarity))
+    known = reduce(DataFrame.unionByName, near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = _compared(found.join(known, ["u", "v"], "left_anti"), sets)
     # Only classes are left to be joined, by their roots.
-    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
-    bridges = similar(more).join(left, "u", "left").join(right, "v", "left")
+    ends = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
+    bridges = similar(more).join(next(ends), "u", "left").join(next(ends), "v", "left")
     joined = connected_components(bridges.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")))
     last = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
-    roots = roots.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(joined).distinct()
-    return similar(*near, more), roots
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(last, "root", "left")
+    named = label_rows(roots, sizes.select("root", F.coalesce("last", "root").alias("last"), "n"), "root", "n")
+    return similar(*near, more), named.select("node", F.col("last").alias("root")).unionByName(joined).distinct()
 
 
 def _simhash_pairs(classes: DataFrame) -> DataFrame:
