@@ -4,9 +4,9 @@ For every node of the DOM the density is its characters per tag, adjusted by the
 and tags that belong to links and by the page's own share. The node whose children's densities have
 the greatest sum is the article's trunk, on every page; text in inline elements counts for the block around
 it. The least density on the path from the trunk to the body is the threshold that other subtrees must reach
-to be content as well. On pages that have ``article`` elements with text (else ``main``), the trunk is
-sought within these; of the element around it, blocks below the threshold are content, too, unless more than
-half of their characters are links.
+to be content as well. Of the trunk everything is content, blocks below the threshold too, unless more than half of their
+characters are links. On pages that have ``article`` elements with text (else ``main``), the trunk is
+sought within these, and the same holds for the element around it.
 
 Before densities are taken, subtrees that are never article text go: scripts, styles, menus, footers,
 sidebars, forms, hidden elements, and elements with a role, class or id that says notice, advert, comment
@@ -274,24 +274,17 @@ def _content(dom: Dom, noise: list[bool]) -> list[bool]:
     while path[-1] != body and dom.parent[path[-1]] >= 0:
         path.append(dom.parent[path[-1]])
     article = next((i for i in path if dom.name[i] == "article"), None) or next((i for i in path if dom.name[i] == "main"), None)
-    chosen, threshold = [False] * n, min(density[i] for i in path)
-    if article is not None:
-        dropped = [False] * n
-        for i in range(article, n):
-            up = dom.parent[i]
-            if i == article:
-                chosen[i] = True
-            elif chosen[up] and not dropped[up]:
-                dropped[i] = linked[i] and density[i] < threshold and dom.name[i] in BLOCK and i not in path and not _under(dom, i, trunk)
-                chosen[i] = not dropped[i]
-        return chosen
-    chosen[trunk] = trunk != body or not any(dom.parent[i] == body and density[i] >= threshold for i in range(body + 1, n))
-    for i in range(body + 1, n):
-        if below[i] and not noise[i] and density[i] > 0 and density[i] >= threshold and i not in path:
-            chosen[i] = True
-    for i in range(1, n):
-        if dom.parent[i] >= 0 and chosen[dom.parent[i]]:
+    top, threshold = trunk if article is None else article, min(density[i] for i in path)
+    chosen = [False] * n
+    for i in range(body, n):
+        if i == top:
             chosen[i] = True
+        elif i > body and chosen[dom.parent[i]]:
+            # Of what lies in the article only blocks of links go, however short the others are.
+            links_only = linked[i] and density[i] < threshold and dom.name[i] in BLOCK
+            chosen[i] = not links_only or i in path or trunk != top and _under(dom, i, trunk)
+        elif article is None and below[i] and not noise[i] and i not in path:
+            chosen[i] = 0 < density[i] >= threshold
     return chosen
 
 

@@ -1,5 +1,7 @@
 import math
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,20 @@ def test_query_needs_no_article_tags(spark, tmp_path):
     pages.withColumn("html", F.regexp_replace("html", r"<(/?)(?:article|main)\b", "<$1div")).write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.op8_html_extract(spark, str(tmp_path)).collect()}
     assert got == {r.page_id: r.text for r in html_extract.op8_html_extract(spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_text_that_lies_in_the_body_is_kept():
+    long, more = "long text of many words " * 20, "more text " * 40
+    body = f"<h1>Title here</h1><p>{long}</p><p>Short end.</p><p>{more}</p>"
+    menu = "<div><a href=a>Home page</a> <a href=b>All the news</a> <a href=c>Contact us</a></div>"
+    wanted = " ".join(f"Title here {long} Short end. {more}".split())
+    assert html_extract.main_text(f"<body>{body}</body>") == wanted
+    assert html_extract.main_text(f"<body>{menu}{body}</body>") == wanted
+    assert html_extract.main_text(f"<body>{menu}<article>{body}</article></body>") == wanted
+    assert html_extract.main_text(body) == wanted
+
+
+def test_pages_without_their_wrapper_tags_give_the_same_text():
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    for page in pages.dropna():
+        assert html_extract.main_text(re.sub(r"</?(article|main|section)\b[^>]*>", "", page)) == html_extract.main_text(page)
