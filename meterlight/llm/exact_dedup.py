@@ -7,7 +7,7 @@ and what is new is appended.
 
 Defined cases: a null text counts as empty. Of equal texts in a batch the row with the largest id
 stays (a null id is the smallest; of rows that also share the id, one stays). A text that an
-earlier batch brought in keeps that batch's row. Empty batches leave the index as it is. Other
+earlier batch brought in keeps that batch's row; the same batch tried again keeps its rows. Empty batches leave the index as it is. Other
 columns of the input are not read, so their names cannot clash.
 """
 
@@ -43,13 +43,14 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Deduplicate one batch and append what is new.
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+        """Deduplicate one batch and append what is new. A batch that may be tried again, as its job can die after
+        the append, needs a name of its own, ``batch``: what the index holds under it counts as new.
 
         Returns one row per input row: id, digest, keep_id (the row that stays), group_size (rows of
         this batch with that text), kept.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = materialize(
             docs.select(
                 F.col(id_col).cast("bigint").alias("id"),
@@ -70,9 +71,10 @@ class DigestIndex:
             .write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
             .format("parquet").saveAsTable(self.name)
         )
-        found = groups.select("digest", "group_size").join(self.read().hint("merge"), "digest")
+        found = groups.select("digest", "group_size", "best_row").join(self.read().hint("merge"), "digest")
+        # Rows are numbered anew by each trial, so the number in the index may be that of an earlier one.
         found = found.select(
-            "digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row")
+            "digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("best_row")).alias("keep_row")
         )
         kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
         return label_rows(rows, found, "digest", "group_size").select("id", "digest", "keep_id", "group_size", kept)

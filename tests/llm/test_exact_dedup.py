@@ -48,3 +48,17 @@ def test_distinct_documents(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, 2), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (False, 10), (True, 0)]
     assert {(r.key, r.id, r.no_id, r.n, r.row) for r in rows} == {("k", "i", "o", "n", "r")}
     assert distinct_documents(docs.where("false")).count() == 0
+
+
+def test_a_batch_that_is_tried_again_keeps_its_rows(spark):
+    index = DigestIndex(spark)
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, None), (None, "b")], "doc_id bigint, text string")
+
+    def kept(batch, rows):
+        found = index.add(rows, batch=batch).where("kept").select("id").collect()
+        return sorted((r.id for r in found), key=lambda i: (i is None, i))
+
+    assert kept("first", docs) == [2, 3, None]
+    assert kept("first", docs.repartition(3)) == [2, 3, None]
+    assert kept("second", docs) == []
+    assert index.read().count() == 3
