@@ -190,12 +190,13 @@ def links(
     rounds: int = ROUNDS,
     pivots: int = PIVOTS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Edges u, v, and their components' roots (node, root): every pair of one bucket (members: bucket, node) and every
+    """Edges u, v, and their components' roots (node, root): every pair of one bucket (members: bucket, node, and n where the
+    sets of each bucket have been counted) and every
     pair of ``candidates`` (u, v) that is at least so similar is an edge or joined by a path of edges, and every edge is such a pair."""
-    members = _crowded(members)
+    members = members if "n" in members.columns else _crowded(members)
     paired = min(PAIRED, bucket_limit)
     pairs = [_pairs(members.where(F.col("n") <= paired))] + ([] if candidates is None else [candidates.select("u", "v")])
-    near = [_compared(reduce(DataFrame.unionByName, pairs), sets)]
+    near, waiting = [], reduce(DataFrame.unionByName, pairs)
     crowded = members.where(F.col("n") > paired)
 
     def similar(*compared):
@@ -209,13 +210,17 @@ def links(
         order = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 33) / F.lit(float(1 << 31))
         chosen = large.where(order * F.col("n") < pivots).select("bucket", F.col("node").alias("pivot"))
         stars = materialize(join_spread(large.select("bucket", "node"), chosen, "bucket").where("node <> pivot"), "stars")
-        compared = _compared(stars.select(F.col("pivot").alias("u"), F.col("node").alias("v")), sets)
+        turned = stars.select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+        compared = _compared(turned if waiting is None else turned.unionByName(waiting), sets)
         near.append(compared)
+        waiting = None
         known = similar(compared).select(F.col("u").alias("pivot"), F.col("v").alias("node"))
         done = stars.join(known, ["pivot", "node"]).select("bucket", "node").unionByName(chosen.select("bucket", F.col("pivot").alias("node")))
         rest = _crowded(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"))
         discard(stars)
         large = rest
+    if waiting is not None:
+        near.append(_compared(waiting, sets))
     roots = connected_components(similar(*near))
     if crowded.isEmpty():
         return similar(*near), roots
@@ -259,7 +264,7 @@ def drop_near_duplicates(
     classes = materialize(classes, "classes")
     # Sets of one fingerprint make a bucket, too.
     keys = F.concat("one.bands", F.array(F.xxhash64(F.lit("fp"), "one.fp")))
-    members = _crowded(classes.select("node", F.explode(keys).alias("bucket"))).select("bucket", "node")
+    members = _crowded(classes.select("node", F.explode(keys).alias("bucket")))
     candidates = _simhash_pairs(classes.select("node", "one.fp"))
     wanted = members.select("node").unionByName(candidates.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     sets = materialize(_sets(docs, classes.join(wanted, "node").select("node", "one.text_key"), text_col), "shingles")
