@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A group that holds 1/HEAVY of the rows or more is joined by broadcast; at most HEAVY such groups exist.
 HEAVY = 1000
+#: Values of 8 bytes that a shuffle partition of a statement of known size has at least (16 MiB).
+CELLS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,15 +50,30 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+@contextlib.contextmanager
+def sized_shuffles(spark: SparkSession, cells: float | None):
+    """Within this block shuffles have no more partitions than ``cells`` values of 8 bytes need, or than there are cores;
+    never more than the session's own setting. None: the session's own. Loops over data that shrink run many small statements,
+    each of which would otherwise start as many tasks as the largest."""
+    before = shuffle_partitions(spark)
+    if cells is not None:
+        wanted = max(spark.sparkContext.defaultParallelism, -(-int(cells) // CELLS))
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(before, wanted)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(before))
+
+
+def materialize(df: DataFrame, name: str, cells: float | None = None, **options) -> DataFrame:
     """Write ``df`` as Parquet, by the writer's ``options``, to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and fixes values (row numbers)
-    that a recomputation could change.
+    that a recomputation could change. ``cells``: the size of what is shuffled, where it is known (:func:`sized_shuffles`).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with freed_shuffles(spark):
+    with freed_shuffles(spark), sized_shuffles(spark, cells):
         df.write.options(compression="zstd", **options).parquet(path)
     spark.sparkContext._jvm.System.gc()  # the same for broadcasts of plans no longer in use
     found = spark.read.schema(df.schema).parquet(path)

@@ -32,15 +32,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, cells: float | None = None) -> DataFrame:
     """``edges`` has bigint columns u, v. Returns node, root (the least node of its component) for
-    every node that has an edge to another node; self-loops and repeated edges do no harm."""
-    edges = materialize(edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u <> v").distinct(), "edges")
+    every node that has an edge to another node; self-loops and repeated edges do no harm. ``cells``: see :func:`common.materialize`."""
+    edges = materialize(edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u <> v").distinct(), "edges", cells)
     before = _state(edges)
     while before[0]:
-        step = materialize(_large_star(edges, before[0]), "edges")
+        cells = 8 * before[0]  # each edge from both ends, with what it is joined to
+        step = materialize(_large_star(edges, before[0]), "edges", cells)
         discard(edges)
-        edges = materialize(_small_star(step, before[0]), "edges")
+        edges = materialize(_small_star(step, before[0]), "edges", cells)
         discard(step)
         after = _state(edges)
         if after == before:

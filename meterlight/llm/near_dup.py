@@ -103,21 +103,21 @@ def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and their exact similarity. Written."""
-    pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
+def _compared(pairs: DataFrame, sets: DataFrame, width: float, cells: float | None = None) -> DataFrame:
+    """u, v and their exact similarity. Written. ``width``: shingles of a set on the average; ``cells``: size of ``pairs``."""
+    pairs = materialize(pairs.select("u", "v").distinct(), "pairs", cells)
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
     both = F.size(F.array_intersect("u_set", "v_set"))
     joined = join_spread(join_spread(pairs, left, "u"), right, "v", of=pairs)
-    compared = materialize(joined.select("u", "v", (both / (F.size("u_set") + F.size("v_set") - both)).alias("similarity")), "compared")
+    compared = materialize(joined.select("u", "v", (both / (F.size("u_set") + F.size("v_set") - both)).alias("similarity")), "compared", (2 * width + 4) * pairs.count())
     discard(pairs)
     return compared
 
 
 def _crowded(members: DataFrame, least: int = 2) -> DataFrame:
     """bucket and node of the buckets with at least ``least`` sets, and their number n. Written."""
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return materialize(label_rows(members.select("bucket", "node"), counts, "bucket", "n"), "buckets")
+    counts, total = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), members.count()
+    return materialize(label_rows(members.select("bucket", "node"), counts, "bucket", "n", total), "buckets", 4 * total)
 
 
 def _ranked(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -125,15 +125,16 @@ def _ranked(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     have one in common. Written; only shingles of several roots are left."""
     rows = sets.join(nodes, "node").select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     rows = materialize(rows, "shingles")
+    total = rows.count()
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))
-    ranked = label_rows(rows, counts, "shingle", "n").withColumn("place", place)
+    ranked = label_rows(rows, counts, "shingle", "n", total).withColumn("place", place)
     # Products of doubles may err in the last bits.
     ranked = ranked.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
-    ranked = materialize(ranked.select("shingle", "node", "root", "size", "place"), "ranked")
+    ranked = materialize(ranked.select("shingle", "node", "root", "size", "place"), "ranked", 6 * total)
     discard(rows)
     shared = ranked.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"))
-    kept = materialize(label_rows(ranked, shared.where("least < most").select("shingle", "n"), "shingle", "n").drop("n"), "ranked")
+    kept = materialize(label_rows(ranked, shared.where("least < most").select("shingle", "n"), "shingle", "n").drop("n"), "ranked", 6 * total)
     discard(ranked)
     return kept
 
@@ -141,6 +142,7 @@ def _ranked(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def _pairs_by_rarity(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """u, v: pairs of ``nodes`` (node, root) of different roots that may be similar; none that is is left out. Written."""
     written = _ranked(nodes, sets, similarity)
+    cells = 16 * written.count()
     least = 2 * similarity / (1 + similarity)
     # Sizes of similar sets are of one class or of two that follow each other; a class is a trifle wider than that takes.
     ranked = written.withColumn("class", F.floor(F.log("size") / F.lit(-np.log(similarity) * (1 + 1e-6)))).withColumn("rest", F.col("size") - F.col("place"))
@@ -151,14 +153,15 @@ def _pairs_by_rarity(nodes: DataFrame, sets: DataFrame, similarity: float) -> Da
     def groups(rows, side):
         found = rows.groupBy(F.xxhash64("shingle", "class").alias("key"), group.alias(f"{side}_group"), F.col("root").alias(f"{side}_root"))
         ends = F.max("rest").alias(f"{side}_rest"), F.min("size").alias(f"{side}_least"), F.max("size").alias(f"{side}_most")
-        return materialize(found.agg(*ends), "groups")
+        return materialize(found.agg(*ends), "groups", cells)
 
     left, right = groups(smaller, "u"), groups(ranked, "v")
+    size = 8 * (left.count() + right.count())
     # A key in common may be a collision, which only adds a candidate.
     enough = 1 + F.least("u_rest", "v_rest") >= similarity / (1 + similarity) * (F.col("u_least") + F.col("v_least")) - 1e-9
     sizes = (F.col("u_least") <= F.col("v_most")) & (F.col("u_most") >= similarity * F.col("v_least") - 1e-9)
     met = join_spread(left, right, "key").where((F.col("u_root") != F.col("v_root")) & enough & sizes)
-    met = materialize(met.select("u_group", "v_group").distinct(), "met")
+    met = materialize(met.select("u_group", "v_group").distinct(), "met", size)
     discard(left, right)
 
     def side(rows, name):
@@ -167,7 +170,7 @@ def _pairs_by_rarity(nodes: DataFrame, sets: DataFrame, similarity: float) -> Da
     found = join_spread(join_spread(met, side(smaller, "u"), "u_group"), side(ranked, "v"), "v_group", of=met)
     enough = 1 + F.least("u_rest", "v_rest") >= similarity / (1 + similarity) * (F.col("u_size") + F.col("v_size")) - 1e-9
     sizes = (F.col("u_size") <= F.col("v_size")) & (F.col("u_size") >= similarity * F.col("v_size") - 1e-9)
-    pairs = materialize(found.where(enough & sizes & F.expr("u <> v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    pairs = materialize(found.where(enough & sizes & F.expr("u <> v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs", cells + 4 * met.count())
     discard(met, written)
     return pairs
 
@@ -195,6 +198,8 @@ def links(
     pair of ``candidates`` (u, v) that is at least so similar is an edge or joined by a path of edges, and every edge is such a pair."""
     members = members if "n" in members.columns else _crowded(members)
     paired = min(PAIRED, bucket_limit)
+    width = sets.agg(F.coalesce(F.avg(F.size("shingles")), F.lit(0.0))).first()[0]
+    small = PAIRED * members.count() + (0 if candidates is None else 2 * candidates.count())  # at most so many cells of pairs
     pairs = [_pairs(members.where(F.col("n") <= paired))] + ([] if candidates is None else [candidates.select("u", "v")])
     near, waiting = [], reduce(DataFrame.unionByName, pairs)
     crowded = members.where(F.col("n") > paired)
@@ -211,33 +216,38 @@ def links(
         chosen = large.where(order * F.col("n") < pivots).select("bucket", F.col("node").alias("pivot"))
         stars = materialize(join_spread(large.select("bucket", "node"), chosen, "bucket").where("node <> pivot"), "stars")
         turned = stars.select(F.col("pivot").alias("u"), F.col("node").alias("v"))
-        compared = _compared(turned if waiting is None else turned.unionByName(waiting), sets)
+        compared = _compared(turned if waiting is None else turned.unionByName(waiting), sets, width, 2 * stars.count() + small)
         near.append(compared)
         waiting = None
         known = similar(compared).select(F.col("u").alias("pivot"), F.col("v").alias("node"))
         done = stars.join(known, ["pivot", "node"]).select("bucket", "node").unionByName(chosen.select("bucket", F.col("pivot").alias("node")))
-        rest = _crowded(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"))
-        discard(stars)
-        large = rest
+        rest = materialize(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), "rest", 4 * (large.count() + stars.count()))
+        large = _crowded(rest)
+        discard(stars, rest)
     if waiting is not None:
-        near.append(_compared(waiting, sets))
-    roots = connected_components(similar(*near))
+        near.append(_compared(waiting, sets, width, small))
+    compared_cells = 2 * sum(c.count() for c in near)
+    roots = connected_components(similar(*near), compared_cells)
     if crowded.isEmpty():
         return similar(*near), roots
     named = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    named = materialize(named, "members")
+    cells = 4 * crowded.count() + 2 * compared_cells
+    named = materialize(named, "members", cells)
     mixed = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"))
-    named = materialize(label_rows(named, mixed.where("least < most").select("bucket", "n"), "bucket", "n"), "mixed")
+    named = materialize(label_rows(named, mixed.where("least < most").select("bucket", "n"), "bucket", "n"), "mixed", cells)
     left = named.where(F.col("n") > bucket_limit).select("node", "root").distinct()
     found = _pairs(named.where(F.col("n") <= bucket_limit), "root")
     if not left.isEmpty():
         found = found.unionByName(_pairs_by_rarity(left, sets, similarity))
     known = reduce(DataFrame.unionByName, near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = _compared(found.join(known, ["u", "v"], "left_anti"), sets)
+    # Pairs are not counted before they are made: of small buckets they are bucket_limit / 2 to a set at most.
+    found = materialize(found.distinct(), "pairs", bucket_limit * named.count())
+    more = _compared(found.join(known, ["u", "v"], "left_anti"), sets, width, 2 * found.count() + compared_cells)
+    discard(found)
     # Only classes are left to be joined, by their roots.
     ends = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
     bridges = similar(more).join(next(ends), "u", "left").join(next(ends), "v", "left")
-    joined = connected_components(bridges.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")))
+    joined = connected_components(bridges.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")), 8 * more.count() + 2 * compared_cells)
     last = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(last, "root", "left")
     named = label_rows(roots, sizes.select("root", F.coalesce("last", "root").alias("last"), "n"), "root", "n")
@@ -246,12 +256,13 @@ def links(
 
 def _simhash_pairs(classes: DataFrame) -> DataFrame:
     """u, v: one set of each of two fingerprints (classes: node, fp) that differ in at most two bits."""
-    fps = materialize(classes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
-    found = materialize(simhash.links(fps.select("fp")), "links")
+    fps = materialize(classes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints", 2 * classes.count())
+    cells = 16 * fps.count()  # eight chains of two values
+    found = materialize(simhash.links(fps.select("fp")), "links", cells)
     left, right = (fps.select(F.col("fp").alias(f"{c}_fp"), F.col("node").alias(c)) for c in "uv")
     found = found.select(F.col("u").alias("u_fp"), F.col("v").alias("v_fp"))
     named = join_spread(join_spread(found, left, "u_fp"), right, "v_fp", of=found)
-    return materialize(named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "candidates")
+    return materialize(named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "candidates", cells)
 
 
 def drop_near_duplicates(
@@ -261,7 +272,7 @@ def drop_near_duplicates(
     rows = materialize(signatures(docs, id_col, text_col), "signatures")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
     classes = rows.groupBy("node").agg(F.min(rank).alias("best"), F.min(F.struct("text_key", "fp", "bands")).alias("one"))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes, "classes", (BANDS + 8) * rows.count())
     # Sets of one fingerprint make a bucket, too.
     keys = F.concat("one.bands", F.array(F.xxhash64(F.lit("fp"), "one.fp")))
     members = _crowded(classes.select("node", F.explode(keys).alias("bucket")))
@@ -272,4 +283,5 @@ def drop_near_duplicates(
     roots = roots.withColumnRenamed("node", "linked")
     named = classes.select("node", "best").join(roots, F.col("node") == F.col("linked"), "left")
     best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    best = materialize(best, "best", 8 * classes.count())
     return keep_rows(docs, best.select("best.id", "best.text_key"), id_col, text_col)

@@ -102,9 +102,9 @@ def _chains(value: Column, segments: int, exact: int) -> Column:
 
 def _meeting(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs more than once, with the number ``n`` of its rows."""
-    named = rows.withColumn("bucket", F.struct(*key))
+    named, total = rows.withColumn("bucket", F.struct(*key)), rows.count()
     counts = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialize(label_rows(named, counts, "bucket", "n").drop("bucket"), "buckets")
+    return materialize(label_rows(named, counts, "bucket", "n", total).drop("bucket"), "buckets", len(rows.columns) * total)
 
 
 def _pairs(rows: DataFrame, key: list[str], rest: str, segments: int, exact: int, distance: int) -> DataFrame:
@@ -155,8 +155,9 @@ def near_duplicates(
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n_rows")), "classes")
     roots = connected_components(links(classes.select("fp"), bucket_limit)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.select("fp", "root", "n_rows").join(least, "root")
+    rooted = materialize(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = label_rows(rooted.select("fp", "root", "n_rows"), least, "root", "n").drop("n")
     return label_rows(rows, named, "fp", "n_rows").select("id", "text_key", "fp", "root", "component_id")
 
 
