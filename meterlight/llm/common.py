@@ -119,9 +119,13 @@ def label_rows(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     """Inner join of ``rows`` with ``groups`` (one row per key, ``size`` its number of rows or more).
 
     Groups of a thousandth of the rows or more, of which there are at most HEAVY, go by broadcast;
-    what is left has no hot key and is merged by key. ``total``: the sum of the sizes, where it is known.
+    what is left has no hot key and is merged by key. ``total``: the sum of the sizes, where it is known. Of HEAVY rows in
+    all no group is large.
     """
-    least = max(2, -(-(rows.count() if total is None else total) // HEAVY))
+    total = rows.count() if total is None else total
+    if total <= HEAVY:
+        return rows.join(groups, key)
+    least = max(2, -(-total // HEAVY))
     heavy = F.broadcast(groups.where(F.col(size) >= least))
     light = groups.where(F.col(size) < least)
     rest = rows.join(heavy.select(key), key, "left_anti")
@@ -133,7 +137,10 @@ def join_spread(rows: DataFrame, others: DataFrame, key: str, salts: int = 64, o
     more have are dealt over ``salts`` parts, in each of which the other side's rows of these keys occur. ``of``: a table
     with the same keys as ``rows`` that is cheaper to read twice."""
     of = rows if of is None else of
-    least = max(2, -(-of.count() // HEAVY))
+    total = of.count()
+    if total <= HEAVY:
+        return rows.join(others, key)
+    least = max(2, -(-total // HEAVY))
     heavy = F.broadcast(of.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key))
     rest = rows.join(heavy, key, "left_anti").join(others, key)
     dealt = rows.join(heavy, key, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))

@@ -41,6 +41,9 @@ def connected_components(edges: DataFrame, cells: float | None = None) -> DataFr
         cells = 8 * before[0]  # each edge from both ends, with what it is joined to
         step = materialize(_large_star(edges, before[0]), "edges", cells)
         discard(edges)
+        if _state(step) == before and step.select("u").distinct().count() == before[0]:
+            edges = step  # nothing is both a neighbour's root and below another vertex, and each vertex has one root
+            break
         edges = materialize(_small_star(step, before[0]), "edges", cells)
         discard(step)
         after = _state(edges)
