@@ -176,17 +176,41 @@ FROM (SELECT *, CASE WHEN contains(model, 'opus') THEN 'opus' WHEN contains(mode
         ranked = counts.select("model", (F.row_number().over(Window.orderBy(F.desc("count"), "model")) - 1).alias("position"))  # a row per model
         return chart.palette_index(ranked).select("model", "position", "family", "index")
 
-    @_register("selection_texts", """WITH m AS (SELECT count(DISTINCT event_type) AS n FROM events), k AS (SELECT unnest(generate_series(0, n)) AS k, n FROM m)
-SELECT k, k || ' of ' || n || ' models' AS said FROM k UNION ALL SELECT -1, 'all ' || n || ' models' FROM m UNION ALL
-SELECT DISTINCT -2 - user_id % 7, '/proj/' || user_id % 7 FROM events WHERE user_id % 11 <> 0""")
-    def _(t):
-        """What a chart says of each number of chosen models, and project parameters read and written again."""
-        models = sorted(r.model for r in t.events.select("model").distinct().collect())  # those of a chart
-        said = [(k, selection.selection_summary("models", set(models[:k]), len(models))) for k in range(len(models) + 1)]
-        said.append((-1, selection.selection_summary("models", None, len(models))))
-        for r in t.events.where("project_id is not null").select("project_id").distinct().collect():
-            said.append((-2 - int(r.project_id[-1]), usage.encode_projects(usage.parse_projects(f",{r.project_id},"))))
-        return t.spark.createDataFrame(said, "k bigint, said string")
+    chosen = " UNION ALL ".join(f"""SELECT '{many}' AS kind, CAST(k AS VARCHAR) AS given, CASE WHEN n = 0 THEN 'no {many}' WHEN k IS NULL THEN 'all ' || n || ' {many}' ELSE k || ' of ' || n || ' {many}' END AS said
+FROM (SELECT n, unnest(list_append(generate_series(0, n), NULL)) AS k FROM (SELECT count(DISTINCT {one}) AS n FROM ({EVENTS_SQL})))""" for many, one in (("models", "model"), ("projects", "project_id")))
+    status = "CASE n_nationkey % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'placeholder' ELSE 'draft' END"
+
+    @_register("selection_texts", f"""{chosen} UNION ALL SELECT DISTINCT 'parameter', project_id, project_id FROM ({EVENTS_SQL}) UNION ALL
+SELECT 'parameter', string_agg(project_id, ',' ORDER BY project_id) AS p, p FROM (SELECT DISTINCT model, project_id FROM ({EVENTS_SQL})) GROUP BY model UNION ALL
+SELECT 'parameter', CASE n_nationkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'all' WHEN 2 THEN '__none__' WHEN 3 THEN ',' ELSE n_name || ',,' || n_name || '/b,' END,
+  CASE n_nationkey % 5 WHEN 2 THEN '__none__' WHEN 4 THEN n_name || ',' || n_name || '/b' END FROM nation UNION ALL
+SELECT 'limit', CASE WHEN n_nationkey % 6 < 5 THEN CAST(n_nationkey * 25 AS VARCHAR) END, CASE WHEN n_nationkey % 6 = 5 THEN '25' WHEN n_nationkey = 0 THEN 'error' ELSE CAST(least(n_nationkey * 25, 500) AS VARCHAR) END FROM nation UNION ALL
+SELECT 'ready', {status} || ' ' || n_nationkey % 2, CASE WHEN n_nationkey % 6 = 0 THEN 'true' ELSE 'false' END FROM nation""")
+    def _(t):
+        """What a chart says of each number of chosen models and projects, project parameters read and written again (of each project, the
+        projects of each model, and what stands for all and for none), limits of sessions, and whether figures may be shown."""
+        pairs = t.events.select("model", "project_id").distinct().collect()  # those of a chart
+        found, by_model = [], {}
+        for many, names in (("models", {r.model for r in pairs}), ("projects", {r.project_id for r in pairs})):
+            known = sorted(names - {None})
+            for k in (*range(len(known) + 1), None):
+                found.append((many, None if k is None else str(k), selection.selection_summary(many, None if k is None else set(known[:k]), len(known))))
+        for r in pairs:
+            by_model.setdefault(r.model, set()).add(r.project_id)
+        parameters = [*{r.project_id for r in pairs}, *(",".join(sorted(names - {None})) or None for names in by_model.values())]
+        for r in t.spark.read.parquet(f"{t.sf_dir}/nation.parquet").collect():
+            k, name = r.n_nationkey, r.n_name
+            parameters.append(("", usage.ALL, usage.NO_PROJECT, ",", f"{name},,{name}/b,")[k % 5])
+            limit = None if k % 6 == 5 else k * 25
+            try:
+                said = str(usage.clamp_sessions(limit))
+            except ValueError:
+                said = "error"
+            found.append(("limit", None if limit is None else str(limit), said))
+            status = ("production", "placeholder", "draft")[k % 3]
+            found.append(("ready", f"{status} {k % 2}", str(impact.environment_ready(status, k % 2 == 1)).lower()))
+        found += [("parameter", p, usage.encode_projects(usage.parse_projects(p))) for p in parameters]
+        return t.spark.createDataFrame(found, "kind string, given string, said string")
 
     # Files of prices, factors and settings, written from what the tables hold
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from meterlight import config
+from meterlight import catalog, config
 from meterlight.functions import buckets, selection, text
 from meterlight.operators import asof, billing, chart, impact, usage
 from meterlight.sources import billing_csv, dims
@@ -51,6 +51,14 @@ def test_selections():
     assert [impact.environment_ready(s, s == "placeholder") for s in ("production", "placeholder", "draft")] == [True, False, False]
 
 
+def test_selection_texts_have_all_cases(spark):
+    """Events without a project, what stands for all and none, limits and readiness, too."""
+    found = {(r.kind, r.given, r.said) for r in catalog.queries()["selection_texts"](spark, "/root/testdata/sf0.001").collect()}
+    wanted = {("models", None, "all 5 models"), ("projects", "0", "0 of 7 projects"), ("projects", None, "all 7 projects"), ("parameter", None, None), ("parameter", "", None)}
+    wanted |= {("parameter", "all", None), ("parameter", ",", None), ("parameter", "__none__", "__none__"), ("limit", None, "25"), ("limit", "0", "error"), ("limit", "600", "500")}
+    assert wanted | {("ready", "production 0", "true"), ("ready", "production 1", "false"), ("ready", "draft 0", "false")} <= found
+
+
 def test_subscriptions(spark, tmp_path):
     refused = [(" ", 1.0, "2024-01-01", ""), ("a", -1.0, "2024-01-01", ""), ("a", float("inf"), "2024-01-01", ""), ("a", 1.0, "1/1/2024", ""), ("a", 1.0, "2024-02-01", "2024-01-01")]
     for given in refused:
