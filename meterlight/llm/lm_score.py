@@ -1,5 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
+``op10`` and :func:`train_and_score` keep every word and every n-gram, in shards of the trie (:mod:`ngram_shards`). :func:`train` and
+:func:`score` are for a model of bounded size that is learnt once and then broadcast; all that follows is about these.
+
 Counts are taken over all training documents. Words of at least a share VOCABULARY of all tokens (so at
 most 1 / VOCABULARY words, whatever the corpus) have ids of their own; the others form one class, whose
 probability the n-gram model gives and within which a word has its smoothed unigram probability, from
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ngram_shards
 from .common import buffer_of, discard, materialize, table
 from .elias_fano import Trie
 from .hashing import HashArray, SpanHasher, long_words, mix, runs, words_of
@@ -375,18 +379,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     return _scored(encoded, model, counts).drop("train")
 
 
-def train_and_score(
-    docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: float = VOCABULARY, grams: float = GRAMS
-) -> tuple[Model, DataFrame]:
-    """The model of the rows where ``is_training`` holds, and all rows' scores: those of :func:`score`, with ``train``."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), is_training.alias("train"))
-    counts = _word_counts(rows.where("train"))
-    model = _vocabulary(counts, vocabulary)
-    encoded = _encoded(rows, model)
-    _fit(model, counts, encoded.where("train"), grams)
-    scores = materialize(_scored(encoded, model, counts), "scores")
-    discard(encoded, counts)
-    return model, scores
+@dataclass
+class Totals:
+    """What the scores of all rows have in common."""
+
+    train_tokens: int
+
+
+def train_and_score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Totals, DataFrame]:
+    """All rows' scores, those of :func:`score` with ``train``, by the whole model of the rows where ``is_training`` holds: every word
+    and every n-gram counts (:mod:`ngram_shards`)."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
+    tokens, scores = ngram_shards.score_all(rows, Tokens)
+    return Totals(tokens), scores
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meterlight.llm import lm_score
 from meterlight.llm.elias_fano import EliasFano, Trie
@@ -124,6 +125,28 @@ def test_against_brute_force(spark, monkeypatch, vocabulary, grams):
     assert sum(e[4] for e in expected) > sum(e[3] for e in expected)
 
 
+@pytest.mark.parametrize("chunk,shard", [(1 << 20, 1 << 20), (40, 60)])
+def test_every_ngram_counts(spark, monkeypatch, chunk, shard):
+    """Of so many tokens that shares would cut n-grams; in one chunk and shard, and in many."""
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, hash string")
+    held = {i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0 for i, _ in rows}
+    for name, value in (("CHUNK", chunk), ("SHARD", shard), ("TEXTS", 64)):
+        monkeypatch.setattr(lm_score.ngram_shards, name, value)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 0.01)
+    monkeypatch.setattr(lm_score, "GRAMS", 0.003)
+    model, scores = lm_score.train_and_score(docs, ~lm_score.held_out("doc_id", 10, 0))
+    reference = Reference([t for i, t in rows if not held[i]], 0, 0)
+    assert model.train_tokens == reference.total
+    got = sorted(((r.id is None, r.id or 0), r.train, r.n_tokens, r.n_known, r.base_score, r.score) for r in scores.collect())
+    expected = sorted(((i is None, i or 0), not held[i], *reference.score(t)) for i, t in rows)
+    assert [g[:4] for g in got] == [e[:4] for e in expected]
+    for g, e in zip(got, expected, strict=True):
+        assert g[4:] == pytest.approx(e[4:], abs=1e-9)
+    assert lm_score.train_and_score(docs.where("false"), F.lit(True))[1].count() == 0
+    assert [r.base_score for r in lm_score.train_and_score(docs.limit(1), F.lit(False))[1].collect()] == [pytest.approx(0)]
+
+
 def test_probabilities_sum_to_one():
     reference = Reference([t for _, t in corpus()], 0.01, 0.003)
     for u, v in list(reference.two)[:20]:
