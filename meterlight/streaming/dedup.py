@@ -1,6 +1,7 @@
 """Events of a stream, each once by its key, with the keys as streaming state.
 
-The state lies in RocksDB, so it may outgrow memory, and is restored from the checkpoint. A micro-batch costs what it holds, however
+The state is that of a streaming aggregate by key, kept by Spark without Python. It lies in RocksDB, so it may outgrow memory, and is
+restored from the checkpoint. A micro-batch costs what it holds, however
 much the store holds; :func:`meterlight.streaming.ingest.stream_into` compares every micro-batch with the store's index instead.
 """
 
@@ -39,7 +40,8 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 class KeepFirst(StatefulProcessor):
-    """Of the rows of a key the first in ``order`` that the first micro-batch with this key has; all rows without a key."""
+    """Of the rows of a key the first in ``order`` that the first micro-batch with this key has; all rows without a key. In Python for each
+    key, so only for streams that forget their keys."""
 
     def __init__(self, order: list[str], ttl_ms: int | None):
         self.order, self.ttl_ms = order, ttl_ms
@@ -67,24 +69,54 @@ class KeepFirst(StatefulProcessor):
         pass
 
 
-def once_by_key(events: DataFrame, order: list[str], known: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """The rows of a stream of events whose key has not occurred before. ``known`` (_key): keys that count as seen when the
-    stream starts for the first time. With ``ttl_ms`` a key is forgotten so long after it was seen."""
-    typed = events.select(*[F.col(f.name).cast(f.dataType) for f in EVENTS])
+def _typed(events: DataFrame) -> DataFrame:
+    return events.select(*[F.col(f.name).cast(f.dataType) for f in EVENTS])
+
+
+def once_by_key(events: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
+    """The rows of a stream of events whose key has not occurred before: of a key's rows in the first micro-batch that has it the first in
+    ``order``, nulls first. Rows without a key are all new. To be written in update mode. ``known`` (_key): a stream that gives the keys that
+    count as seen in the first micro-batch.
+
+    Kept by key are the first row and the times of the first and the last micro-batch; they are equal as long as the row is new. The time of a
+    micro-batch is that of its record in the checkpoint, so it is the same when the batch is repeated."""
+    typed, columns = _typed(events), [f.name for f in EVENTS]
+    now, key = F.current_timestamp(), ledger_key()
+    row = F.struct(now.alias("at"), F.lit(True).alias("event"), F.struct(*order).alias("place"), F.struct(*columns).alias("row"))
+    rows = typed.where(key.isNotNull()).select(key.alias("_key"), row.alias("first"))
+    if known is not None:
+        seen = F.struct(now.alias("at"), F.lit(False).alias("event"), F.lit(None).cast(rows.schema["first"].dataType["place"].dataType).alias("place"), F.lit(None).cast(EVENTS).alias("row"))
+        rows = rows.unionByName(known.select("_key", seen.alias("first")))
+    kept = rows.groupBy("_key").agg(F.min("first").alias("first"), F.max("first.at").alias("last"))
+    return kept.where("first.event and first.at = last").select("first.row.*").unionByName(typed.where(key.isNull()))
+
+
+def once_for_a_time(events: DataFrame, order: list[str], known: DataFrame, ttl_ms: int) -> DataFrame:
+    """As :func:`once_by_key`, but a key is forgotten ``ttl_ms`` after it was seen. ``known`` (_key) is a table."""
+    typed = _typed(events)
     keyless = F.concat(F.lit("-"), F.pmod(F.xxhash64(*typed.columns), F.lit(KEYLESS)).cast("string"))
     keyed = typed.withColumn("_key", F.coalesce(ledger_key(), keyless))
-    start = None if known is None else known.select("_key").groupBy("_key")
     return keyed.groupBy("_key").transformWithState(
-        statefulProcessor=KeepFirst(order, ttl_ms), outputStructType=EVENTS, outputMode="append", timeMode="none" if ttl_ms is None else "processingTime", initialState=start
+        statefulProcessor=KeepFirst(order, ttl_ms), outputStructType=EVENTS, outputMode="append", timeMode="processingTime", initialState=known.select("_key").groupBy("_key")
     )
 
 
+def _known(store: Store, checkpoint: str) -> DataFrame:
+    """A stream of the keys that the store holds when the stream of ``checkpoint`` first starts. They are written beside its state once."""
+    spark, folder = store.spark, f"{checkpoint}/known"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        store.known_keys().write.mode("overwrite").parquet(folder)
+    return spark.readStream.schema("_key string").parquet(folder)
+
+
 def stream_once(events: DataFrame, store: Store, checkpoint: str, order: list[str] = ["occurred_at"], available_now: bool = True, ttl_ms: int | None = None):  # noqa: B006
     """Write a stream of events to the store, each once by its key. Keys that the store holds when the stream first starts count as
     seen. A micro-batch that is repeated after a crash is written once: the store knows the last one of each checkpoint."""
     spark = events.sparkSession
-    fresh = once_by_key(events, order, store.known_keys(), ttl_ms)
-    writer = fresh.writeStream.foreachBatch(lambda batch, n: store.append_events(batch, checkpoint, n) and None).option("checkpointLocation", checkpoint)
+    fresh = once_by_key(events, order, _known(store, checkpoint)) if ttl_ms is None else once_for_a_time(events, order, store.known_keys(), ttl_ms)
+    writer = fresh.writeStream.outputMode("update" if ttl_ms is None else "append").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(lambda batch, n: store.append_events(batch, checkpoint, n) and None)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")
     with _settings(spark, ROCKSDB):
         return writer.start()
