@@ -22,6 +22,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: Parts of a new stream's state for each core, at most: each is a RocksDB instance that every micro-batch opens and commits.
+STATE_PARTS = 3
 #: Groups over which rows without a key are dealt.
 KEYLESS = 1024
 
@@ -118,5 +120,6 @@ def stream_once(events: DataFrame, store: Store, checkpoint: str, order: list[st
     writer = fresh.writeStream.outputMode("update" if ttl_ms is None else "append").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(lambda batch, n: store.append_events(batch, checkpoint, n) and None)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")
-    with _settings(spark, ROCKSDB):
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STATE_PARTS * spark.sparkContext.defaultParallelism)
+    with _settings(spark, ROCKSDB | {"spark.sql.shuffle.partitions": str(parts)}):
         return writer.start()
