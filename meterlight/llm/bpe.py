@@ -171,19 +171,26 @@ def _ids_array(encoded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with a column ``out`` (array of ids) in place of any column of that name."""
+def encode(
+    docs: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None, decoded: str | None = None
+) -> DataFrame:
+    """``docs`` with a column ``out`` (array of ids) in place of any column of that name. ``decoded``: another such column, of the bytes
+    that these ids stand for; they are decoded where they are made, so a task has one Python worker instead of a second for :func:`decode`."""
     codec = _codec_maker(docs.sparkSession, path, pattern)
-    rest = docs.drop(out)
+    new = [out] if decoded is None else [out, decoded]
+    rest = docs.drop(*new)
 
     def compute(batches):
         coder = codec()
         for batch in batches:
-            ids = _ids_array([coder.encode(t) for t in batch.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(compute, f"{fields}, `{out}` array<int>")
+            encoded = [coder.encode(t) for t in batch.column(text_col).to_pylist()]
+            more = [_ids_array(encoded)]
+            if decoded is not None:
+                more.append(pa.array([coder.decode(e) for e in encoded], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *new])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema]
+    return rest.mapInArrow(compute, ", ".join(fields + [f"`{n}` {t}" for n, t in zip(new, ("array<int>", "binary"), strict=False)]))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out: str = "bytes", path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 HEAVY = 1000
 #: Values of 8 bytes that a shuffle partition of a statement of known size has at least (16 MiB).
 CELLS = 1 << 21
+#: Bytes of the batches in which :func:`small_batches` lets rows go to Python.
+BATCH = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,18 @@ def sized_shuffles(spark: SparkSession, cells: float | None):
         spark.conf.set("spark.sql.shuffle.partitions", str(before))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's rows go to Python in batches of BATCH bytes, or of one row where that is larger; smaller settings stay.
+
+    By Spark's setting a batch has 10,000 rows or 64 MB. An executor and its worker each hold several of that size for every task that
+    runs, outside the heap, and what they free is not all returned to the machine.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH:  # no limit where it is not positive
+        spark.conf.set(name, str(BATCH))
+
+
 def materialize(df: DataFrame, name: str, cells: float | None = None, **options) -> DataFrame:
     """Write ``df`` as Parquet, by the writer's ``options``, to the shared folder and read it back.
 

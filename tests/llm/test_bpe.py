@@ -62,3 +62,11 @@ def test_rows(spark, library):
     assert bpe.round_trip(docs.where("false")).count() == 0
     empty = [r for r in bpe.round_trip(docs).collect() if r.n_tokens == 0]
     assert {r.decoded_sha256 for r in empty} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_decoded_beside_the_ids(spark):
+    docs = spark.createDataFrame([(1, "Größe 12,5 🙂", b"old"), (2, None, b"old"), (3, "", None)], "id bigint, text string, back binary")
+    one = bpe.encode(docs, decoded="back")
+    two = bpe.decode(bpe.encode(docs.drop("back")), out="back")
+    assert one.columns == two.columns
+    assert sorted(one.collect()) == sorted(two.collect())

@@ -65,3 +65,25 @@ def test_last_stage_decodes(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = corpus_pipeline.encode_tokens(spark, docs, "").collect()
     assert [r.round_trip for r in got] == [True] * len(texts)
+
+
+def test_tasks_have_one_python_worker_and_small_batches(spark):
+    """A stage with two workers for each task, and batches of 10,000 texts, took more than an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    try:
+        docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('two words ', 200) AS text")
+        coded = corpus_pipeline.encode_tokens(spark, docs, "")
+        assert coded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        found = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+        assert len(found) > 1 and max(found) < 2 << 20
+        spark.conf.set(name, "64k")  # what is smaller already stays
+        corpus_pipeline.encode_tokens(spark, docs, "")
+        assert spark.conf.get(name) == "64k"
+    finally:
+        spark.conf.set(name, before)
